@@ -209,3 +209,40 @@ def as_of(
     return latest.filter("__v is null").select(
         *keys, day, *[F.col(f"__l.{c}").alias(c) for c in columns]
     )
+
+
+def running_peak(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    piece: Column,
+    value: Column,
+    total: str,
+    peak: str,
+) -> DataFrame:
+    """Add the running sum through each row and its greatest value before the row."""
+    source = df.withColumns({PIECE: piece, "__v": value})
+    inside = Window.partitionBy(*keys, PIECE).orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    past = inside.rowsBetween(Window.unboundedPreceding, -1)
+    local = source.withColumn("__sum", F.sum("__v").over(upto)).withColumn(
+        "__high", F.max("__sum").over(past)
+    )
+    earlier = (
+        Window.partitionBy(*keys).orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    kind = local.schema["__sum"].dataType
+    carried = (
+        local.groupBy(*keys, PIECE)
+        .agg(F.sum("__v").cast(kind).alias("__t"), F.max("__sum").alias("__m"))
+        .withColumn("__base", F.coalesce(F.sum("__t").over(earlier), F.lit(0)).cast(kind))
+        .withColumn("__prior", F.max((F.col("__base") + F.col("__m")).cast(kind)).over(earlier))
+        .select(*keys, PIECE, "__base", "__prior")
+    )
+    joined = local.join(carried, [*keys, PIECE], "left")
+    return joined.withColumns(
+        {
+            total: (F.col("__sum") + F.col("__base")).cast(kind),
+            peak: F.greatest((F.col("__high") + F.col("__base")).cast(kind), F.col("__prior")),
+        }
+    ).drop(PIECE, "__v", "__sum", "__high", "__base", "__prior")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlight.functions.ordered import day_piece, running
+from ledgerlight.functions.ordered import day_piece, running, running_peak
 from ledgerlight.functions.rules import describe
 from ledgerlight.names import AGING, APPLIED, CATEGORY, KEY, STUDENT, YEAR
 from ledgerlight.session import settle
@@ -495,15 +495,14 @@ def aging_buckets_pooled(invoice_rows: DataFrame, payments: DataFrame) -> DataFr
     pool = payments.groupBy(*KEY).agg(
         _sum("amount_paid").alias("__pool"), F.max("payment_date").alias("__last")
     )
-    ran = running(
+    peaks = running_peak(
         invoice_rows,
         KEY,
         invoice_order(),
         day_piece("due_date"),
-        {"__hi": ("sum", F.col("credit_sale_amount"))},
-    )
-    peaks = running(
-        ran, KEY, invoice_order(), day_piece("due_date"), {"__peak": ("max", F.col("__hi"))}, before=True
+        F.col("credit_sale_amount"),
+        "__hi",
+        "__peak",
     )
     # remaining money before a row = hi-so-far subtracted, floored where the pool ran dry
     before = (F.col("__hi") - F.col("credit_sale_amount")).cast(MONEY)
@@ -539,7 +538,7 @@ def aging_invoice_table(ledger: DataFrame) -> DataFrame:
         .select(*columns)
     )
     several = aging_buckets_pooled(
-        credit_sales_multi(ledger), payments_to_receivables(ledger)
+        settle(credit_sales_multi(ledger)), payments_to_receivables(ledger)
     ).select(*columns)
     both = one.unionByName(several).withColumns(
         {c: F.coalesce(c, _zero()) for c in [*AGING, "total_payments"]}

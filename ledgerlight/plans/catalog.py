@@ -6,7 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlight.plans import ledger_queries  # noqa: F401
+from ledgerlight.plans import (  # noqa: F401
+    explore_queries,
+    feature_queries,
+    ledger_queries,
+    report_queries,
+)
 from ledgerlight.plans.registry import ENTRIES, Entry, assemble, present
 
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerlight.names import AGING, APPLIED, CATEGORY, KEY, STUDENT, YEAR
+from ledgerlight.names import AGING, CATEGORY, KEY, STUDENT, YEAR
 from ledgerlight.operators import clean, invoices as inv
-from ledgerlight.plans.inputs import K, aging_rows, enrolled, invoice_rows, ledger
+from ledgerlight.plans.inputs import K, ledger
 from ledgerlight.plans.registry import part, query
+from ledgerlight.session import settle
 from ledgerlight.sources.tables import column_prune, ledger_scan, ledger_view, table
-from ledgerlight.sources import tables
 
 KEYS = "school_year:i;student_id_pseudonimized:s;category_name:s"
 LINE = (
@@ -292,7 +292,7 @@ def _(spark, sf):
 
 def _settled(spark, sf):
     base = ledger(spark, sf)
-    return inv.fifo(inv.credit_sales_multi(base), inv.payments_to_receivables(base))
+    return inv.fifo(settle(inv.credit_sales_multi(base)), inv.payments_to_receivables(base))
 
 
 @query(
@@ -387,7 +387,9 @@ FROM credit_multi LEFT JOIN aging_multi USING (entry_number)""",
 )
 def _(spark, sf):
     base = ledger(spark, sf)
-    return inv.aging_buckets_pooled(inv.credit_sales_multi(base), inv.payments_to_receivables(base))
+    return inv.aging_buckets_pooled(
+        settle(inv.credit_sales_multi(base)), inv.payments_to_receivables(base)
+    )
 
 
 @query(
