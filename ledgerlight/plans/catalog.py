@@ -11,6 +11,7 @@ from ledgerlight.plans import (  # noqa: F401
     feature_queries,
     ledger_queries,
     report_queries,
+    result_queries,
 )
 from ledgerlight.plans.registry import ENTRIES, Entry, assemble, present
 

@@ -260,10 +260,10 @@ def _(spark, sf):
     f"""SELECT *, list_position(['On Time', 'Late', 'Not Fully Paid Yet'], payment_status) AS position FROM (
 SELECT school_year, payment_status, count(*) AS count,
   count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY school_year) AS percent
-FROM statused WHERE due_date <= DATE '{AS_OF}' GROUP BY ALL
+FROM statused WHERE due_date <= DATE '{AS_OF}' GROUP BY school_year, payment_status
 UNION ALL
 SELECT NULL, payment_status, count(*), count(*) * 100.0 / sum(count(*)) OVER ()
-FROM statused WHERE due_date <= DATE '{AS_OF}' GROUP BY ALL)""",
+FROM statused WHERE due_date <= DATE '{AS_OF}' GROUP BY payment_status)""",
 )
 def _(spark, sf):
     rows = rep.payment_status(aging_rows(spark, sf))
