@@ -31,9 +31,10 @@ def _pivots(points: DataFrame, count: int) -> np.ndarray:
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distances of all rows of ``a`` to all rows of ``b``, a slice at a time."""
     out = np.empty((len(a), len(b)))
-    for start in range(0, len(a), 256):
-        gap = a[start : start + 256, None, :] - b[None, :, :]
-        out[start : start + 256] = np.sqrt((gap * gap).sum(axis=2))
+    step = max(1, 2_000_000 // max(1, b.size))
+    for start in range(0, len(a), step):
+        gap = a[start : start + step, None, :] - b[None, :, :]
+        out[start : start + step] = np.sqrt((gap * gap).sum(axis=2))
     return out
 
 

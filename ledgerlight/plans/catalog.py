@@ -10,6 +10,7 @@ from ledgerlight.plans import (  # noqa: F401
     explore_queries,
     feature_queries,
     ledger_queries,
+    model_queries,
     report_queries,
     result_queries,
 )
