@@ -28,6 +28,11 @@ def value_piece(value: str = "value") -> Column:
     return F.floor(F.signum(col) * F.asinh(F.abs(col)) * 256).cast("long")
 
 
+def small(df: DataFrame, known: bool = False, rows: int = 100_000) -> DataFrame:
+    """Hint a broadcast for a frame of few rows, known or counted; leave others to the planner."""
+    return F.broadcast(df) if known or df.limit(rows + 1).count() <= rows else df
+
+
 def quantiles(
     df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], by: Sequence[str] = ()
 ) -> DataFrame:
@@ -45,7 +50,7 @@ def quantiles(
     ranks = totals.withColumn("p", wanted).select(
         *keys, "p", ((F.col("total") - 1) * F.col("p")).alias("rank")
     )
-    held = ranked.withColumn("lo", F.col("hi") - F.col("n")).join(ranks, keys)
+    held = ranked.withColumn("lo", F.col("hi") - F.col("n")).join(small(ranks, not by), keys)
     near = held.filter("(lo <= floor(rank) and hi > floor(rank)) or (lo <= ceil(rank) and hi > ceil(rank))")
     return near.groupBy(*keys, "p").agg(
         (

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlight.functions.quantiles import small
 from ledgerlight.names import APPLIED, CATEGORY, PLANS, STUDENT, YEAR
 from ledgerlight.session import settle
 
@@ -91,7 +92,7 @@ def ledger_clean(raw: DataFrame) -> DataFrame:
     )
 
 
-def due_date_override(ledger: DataFrame, overrides: DataFrame, max_rows: int = 10_000) -> DataFrame:
+def due_date_override(ledger: DataFrame, overrides: DataFrame) -> DataFrame:
     """Replace due dates by the first matching override of the line's year.
 
     ``overrides`` has (school_year, plan_type, due_on, position). Its rows are
@@ -106,9 +107,7 @@ def due_date_override(ledger: DataFrame, overrides: DataFrame, max_rows: int = 1
     per_year = per_plan.groupBy(YEAR).agg(
         F.array_sort(F.collect_list(F.struct("position", "plan_type", "due_on"))).alias("rules")
     )
-    if overrides.limit(max_rows + 1).count() <= max_rows:
-        per_year = F.broadcast(per_year)
-    joined = ledger.join(per_year, YEAR, "left")
+    joined = ledger.join(small(per_year), YEAR, "left")
     hit = F.filter(
         "rules",
         lambda r: F.coalesce(F.contains(F.col(CATEGORY), r["plan_type"]), F.lit(False))

@@ -348,8 +348,8 @@ def comparison_modes(derived: DataFrame, mode: str) -> DataFrame:
     elif mode == "regular_vs_ordinal":
         ordinal = derived.filter(F.col("model").startswith("ordinal_"))
         base = F.regexp_replace("model", "^ordinal_", "").alias("model")
-        best = _best_enhanced(ordinal, [base])  # one row per base model
-        result = regular.join(F.broadcast(best), "model", "left").withColumn(
+        best = _best_enhanced(ordinal, [base])
+        result = regular.join(best, "model", "left").withColumn(
             "right_name",
             F.when(F.col(rights[0]).isNull(), "").otherwise(F.concat(F.lit("ordinal_"), F.col("model"))),
         )

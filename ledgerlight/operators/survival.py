@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -235,12 +236,8 @@ def survival_features(df: DataFrame, cox: Cox, time_points: Sequence[float]) ->
     times, hazards = list(cox.times), list(cox.hazard)
     if not times or times[0] > 0:
         times, hazards = [0.0, *times], [0.0, *hazards]
-    slices = F.array(
-        *[
-            F.array(F.lit(h0), F.lit(h1), F.lit(t1 - t0))
-            for (t0, h0), (t1, h1) in itertools.pairwise(zip(times, hazards))
-        ]
-    )
+    steps = [[h0, h1, t1 - t0] for (t0, h0), (t1, h1) in itertools.pairwise(zip(times, hazards))]
+    slices = F.from_json(F.lit(json.dumps(steps)), "array<array<double>>")  # folded to one literal
     risk = F.col("partial_hazard")
     area = F.aggregate(
         slices,
@@ -298,7 +295,7 @@ def concordance_index(df: DataFrame, time: str, event: str, risk: str, bits: int
     keys = ["level", "group"]
     ran = running(counted, keys, [F.col("r")], value_piece("r"), {"upto": ("sum", F.col("later"))})
     totals = counted.groupBy(*keys).agg(F.sum("later").alias("all"))
-    both = ran.join(totals, keys)
+    both = ran.join(F.broadcast(totals), keys)  # at most two rows per distinct day and digit
     good = F.col("first") * (F.col("upto") - F.col("later"))
     tied = F.col("first") * F.col("later")
     return both.agg(

@@ -448,8 +448,9 @@ def _four(df):
 @query(
     "ordinal_combine",
     FOUR,
-    """SELECT row_id, 1 - a AS p0, a - x AS p1, x - y AS p2, y AS p3
-FROM (SELECT *, least(b, a) AS x, least(c, b, a) AS y FROM fractions)""",
+    """SELECT row_id, (1 - a) / s AS p0, (a - x) / s AS p1, (x - y) / s AS p2, y / s AS p3
+FROM (SELECT *, (((1 - a) + (a - x)) + (x - y)) + y AS s
+  FROM (SELECT *, least(b, a) AS x, least(c, b, a) AS y FROM fractions))""",
 )
 def _(spark, sf):
     from ledgerlight.plans.result_queries import scored
@@ -462,7 +463,7 @@ def _(spark, sf):
     "two_stage_combine",
     FOUR,
     """SELECT row_id, (1 - a) / s AS p0, a * b / s AS p1, a * c / s AS p2, a * d / s AS p3
-FROM (SELECT *, 1 - a + a * (b + c + d) AS s FROM fractions)""",
+FROM (SELECT *, (((1 - a) + a * b) + a * c) + a * d AS s FROM fractions)""",
 )
 def _(spark, sf):
     from ledgerlight.plans.result_queries import scored
