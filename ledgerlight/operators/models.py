@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 from pyspark.ml.classification import (
@@ -273,6 +274,9 @@ def ordinal_combine(above: Sequence[Column]) -> Column:
     return _normalised(F.array(*parts))
 
 
+WEIGHTED = (gradient_boosting,)
+
+
 @dataclass
 class Ordinal(Model):
     models: list[Model]
@@ -292,7 +296,11 @@ class Ordinal(Model):
 def ordinal_classifier(
     df, features, label=LABEL, classes=CLASSES, base: Callable = random_forest, balance=True, **params
 ) -> Ordinal:
-    """One binary model per threshold: is the label greater than k."""
+    """One binary model per threshold: is the label greater than k.
+
+    ``balance`` weights the rarer side up for the bases that take such a weight
+    (boosted trees); the others are fitted as they are.
+    """
     counts = {r[0]: r[1] for r in df.groupBy(label).agg(F.count("*")).collect()}
     models = []
     for k in range(classes - 1):
@@ -300,7 +308,7 @@ def ordinal_classifier(
         low = sum(n for c, n in counts.items() if c <= k)
         rows = df.withColumn("__b", (F.col(label) > k).cast("int"))
         extra = dict(params)
-        if balance and high:
+        if balance and high and base in WEIGHTED:
             rows = rows.withColumn("__bw", F.when(F.col("__b") == 1, F.lit(low / high)).otherwise(1.0))
             extra["weight"] = "__bw"
         models.append(base(rows, features, "__b", 2, **extra))
@@ -506,11 +514,20 @@ def feature_weights_table(
 
 
 MODELS: dict[str, Callable] = {
-    "decision_tree": decision_tree,
-    "random_forest": random_forest,
     "ada_boost": adaboost,
+    "decision_tree": decision_tree,
     "gaussian_naive_bayes": gaussian_nb,
+    "knn": knn_classify,
+    "random_forest": random_forest,
     "xgboost": gradient_boosting,
-    "ordinal_random_forest": ordinal_classifier,
-    "two_stage_rf_rf": two_stage_classifier,
+    "stacked_ensemble": stacked_ensemble,
+}
+MODELS |= {
+    f"ordinal_{name}": partial(ordinal_classifier, base=MODELS[name])
+    for name in ("ada_boost", "random_forest", "xgboost")
+}
+_SHORT = {"ada": "ada_boost", "rf": "random_forest", "xgb": "xgboost"}
+MODELS |= {
+    f"two_stage_{a}_{b}": partial(two_stage_classifier, first=MODELS[_SHORT[a]], second=MODELS[_SHORT[b]])
+    for a, b in (("ada", "xgb"), ("rf", "ada"), ("rf", "rf"), ("xgb", "ada"), ("xgb", "rf"), ("xgb", "xgb"))
 }

@@ -7,13 +7,14 @@ from orders. Both grow with the tables.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from ledgerlight.names import METRICS
 from ledgerlight.operators import evaluate as ev, results as res
 from ledgerlight.plans.registry import part, query, staged
+from ledgerlight.session import shared_folder
 from ledgerlight.sources import results as src
 from ledgerlight.sources.tables import table
 
@@ -347,11 +348,8 @@ def _stack(found):
 
 
 def scratch(spark) -> str:
-    """Folder for tables a query writes: beside the checkpoints, or local in local mode."""
-    import uuid
-
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/{uuid.uuid4()}" if shared else tempfile.mkdtemp(prefix="ledgerlight-")
+    """Fresh folder for the tables a query writes."""
+    return f"{shared_folder(spark)}/{uuid.uuid4()}"
 
 
 @query("results_write", STACK, STACK_SQL)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,16 +27,25 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8) -> SparkSe
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder every executor reaches: ``spark.checkpoint.dir``, or a local one in local mode."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="ledgerlight-")
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from the written files.
+    """Write ``df`` as a table in the shared folder and continue from the table.
 
-    Used where a result feeds several later branches, so that the work before
-    it runs once and survives a lost executor.
+    Used where a result feeds several later branches: the work before it runs
+    once, later scans read only the columns they need, and a lost executor
+    costs nothing that was written.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ledgerlight-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
