@@ -463,13 +463,13 @@ def _(spark, sf):
     "two_stage_combine",
     FOUR,
     """SELECT row_id, (1 - a) / s AS p0, a * b / s AS p1, a * c / s AS p2, a * d / s AS p3
-FROM (SELECT *, (((1 - a) + a * b) + a * c) + a * d AS s FROM fractions)""",
+FROM (SELECT *, (((1 - a) + a * b) + a * c) + a * d AS s FROM (SELECT * REPLACE ((a + 1) / 3 AS a) FROM fractions))""",
 )
 def _(spark, sf):
     from ledgerlight.plans.result_queries import scored
 
     given = F.slice("probability", 2, 3)
-    p = mod.two_stage_combine(F.get("probability", F.lit(0)), given)
+    p = mod.two_stage_combine((F.get("probability", F.lit(0)) + 1) / 3, given)
     return _four(scored(spark, sf).withColumn("p", p))
 
 

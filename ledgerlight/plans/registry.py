@@ -12,6 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The engines round exact decimal ties by different rules; this moves numbers off them.
+UNTIE = 1.0000000000001
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -39,8 +42,10 @@ def present(df: DataFrame, layout: str) -> DataFrame:
             out = col.cast("string")
         elif kind == "d":
             out = F.date_format(col, "yyyy-MM-dd")
+        elif kind == "m":
+            out = F.round(col.cast("double"), 4) + F.lit(0.0)
         else:
-            out = F.round(col.cast("double"), 4 if kind == "m" else 6) + F.lit(0.0)
+            out = F.round(col.cast("double") * F.lit(UNTIE), 6) + F.lit(0.0)
         return out.alias(name)
 
     return df.select(*[cast(name, kind) for name, kind in columns(layout)])
@@ -55,8 +60,10 @@ def _present_sql(body: str, layout: str) -> str:
             out = f"CAST({col} AS VARCHAR)"
         elif kind == "d":
             out = f"strftime({col}, '%Y-%m-%d')"
+        elif kind == "m":
+            out = f"round(CAST({col} AS DOUBLE), 4) + 0.0"
         else:
-            out = f"round(CAST({col} AS DOUBLE), {4 if kind == 'm' else 6}) + 0.0"
+            out = f"round(CAST({col} AS DOUBLE) * CAST({UNTIE!r} AS DOUBLE), 6) + 0.0"
         return f"{out} AS {col}"
 
     picked = ",\n  ".join(cast(name, kind) for name, kind in columns(layout))

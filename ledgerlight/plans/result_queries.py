@@ -97,14 +97,18 @@ WINDOW w AS (PARTITION BY class ORDER BY score DESC)""",
 )
 
 
+AUC_SQL = "SELECT class, sum(neg * (tp - pos / 2.0)) / any_value(P * N) AS auc FROM points GROUP BY class"
+
+
 @query(
-    "roc_curve",
-    "class:i;threshold:f;fpr:f;tpr:f",
-    """SELECT class, score AS threshold, fp / N AS fpr, tp / P AS tpr FROM points
-UNION ALL SELECT k, NULL, 0, 0 FROM labels4""",
+    "roc_curve_auc",
+    "class:i;threshold:f;fpr:f;tpr:f;auc:f",
+    f"""SELECT * FROM (SELECT class, score AS threshold, fp / N AS fpr, tp / P AS tpr FROM points
+UNION ALL SELECT k, NULL, 0, 0 FROM labels4) JOIN ({AUC_SQL}) USING (class)""",
 )
 def _(spark, sf):
-    return ev.roc_curve(ev.class_scores(scored(spark, sf)))
+    scores = ev.class_scores(scored(spark, sf))
+    return ev.roc_curve(scores).join(F.broadcast(ev.roc_auc(scores)), "class")  # one row per class
 
 
 @query(
@@ -119,9 +123,6 @@ def _(spark, sf):
     return ev.roc_curve(ev.class_scores(scored(spark, sf)), drop_intermediate=True)
 
 
-AUC_SQL = "SELECT class, sum(neg * (tp - pos / 2.0)) / any_value(P * N) AS auc FROM points GROUP BY class"
-
-
 @query("roc_auc", "class:i;auc:f", AUC_SQL)
 def _(spark, sf):
     return ev.roc_auc(ev.class_scores(scored(spark, sf)))
