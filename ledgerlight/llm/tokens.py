@@ -16,14 +16,27 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 900_000
 CACHED_CHARS = 40
 # A space beside other white space may belong to a longer token.
 _RUN = re.compile(r" \s|\s ")
+# A single line end between other characters is a piece of its own.
+_LINE = re.compile(r"(?<=\S)\n(?=\S)")
+_WORD = re.compile(r" ?[^ ]+| ")
 # str.split() takes these for white space, the tokenizers don't.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 # A word of Latin letters with marks behind it: the tokenizers cut between the two.
-_MARKED = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%$#&*|()\"]+)")
+_MARKED = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%$#&*|()\"]*)")
+
+
+def _shown_bytes() -> dict[int, str]:
+    """How byte-level vocabularies spell a byte: printable Latin-1 as itself, the rest from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_SHOWN = _shown_bytes()
 
 
 class Encoder:
@@ -42,6 +55,9 @@ class Encoder:
         self.spaced = len(self.tokenizer.encode(" a  a", add_special_tokens=False).ids) != len(
             self.tokenizer.encode("a a", add_special_tokens=False).ids
         )
+        spelled = self._word(" äÉs" if self.spaced else "äÉs")
+        if spelled != self._packed([" äÉs" if self.spaced else "äÉs"])[0]:
+            raise ValueError(f"{path} is no byte-level vocabulary of a known kind")
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.added = [token.content for token in added]
         self.cache: dict[str, bytes] = {}
@@ -50,24 +66,34 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.kind).tobytes() for x in found]
 
+    def _word(self, word: str) -> bytes:
+        """Ids of letters that the tokenizer takes as one piece, from its merges directly."""
+        spelled = (word if self.spaced else word.lower()).encode().decode("latin-1").translate(_SHOWN)
+        return np.array([x.id for x in self.tokenizer.model.tokenize(spelled)], self.kind).tobytes()
+
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids of unknown chunks; words and the marks behind them are looked up apart."""
-        cut = {chunk: _MARKED.fullmatch(chunk) for chunk in chunks}
-        parts = {part for chunk, m in cut.items() for part in (m.groups() if m else (chunk,))}
-        new = [part for part in parts if part not in self.cache]
-        known = dict(zip(new, self._packed(new)))
-
-        def ids(part: str) -> bytes:
-            return known[part] if part in known else self.cache[part]
-
-        out = {
-            chunk: ids(m[1]) + ids(m[2]) if m else ids(chunk) for chunk, m in cut.items()
-        }
-        if len(self.cache) + len(out) + len(known) > CACHE_ENTRIES:
-            self.cache = {}
-        for found in (known, out):
-            self.cache.update((k, v) for k, v in found.items() if len(k) <= CACHED_CHARS)
-        return out
+        cache, new = self.cache, {}
+        others = []
+        for chunk in chunks:
+            m = _MARKED.fullmatch(chunk)
+            if not m:
+                others.append(chunk)
+                continue
+            word, marks = m.groups()
+            ids = new.get(word) or cache.get(word) or self._word(word)
+            new[word] = ids
+            if marks:
+                tail = new.get(marks) or cache.get(marks)
+                if tail is None:
+                    tail = new[marks] = self._packed([marks])[0]
+                new[chunk] = ids + tail
+        if others:
+            new.update(zip(others, self._packed(others)))
+        if len(cache) + len(new) > CACHE_ENTRIES:
+            self.cache = cache = {}
+        cache.update((k, v) for k, v in new.items() if len(k) <= CACHED_CHARS)
+        return new
 
     def encode(self, text: str) -> bytes:
         """The packed ids of a whole text; an empty text has none."""
@@ -75,15 +101,19 @@ class Encoder:
             return b""
         if any(token in text for token in self.added):
             return self._packed([text])[0]
-        if self.spaced:
-            if _RUN.search(text):
-                return self._packed([text])[0]
-            head, *rest = text.split(" ")
-            chunks = [head, *[" " + x for x in rest]]
-        else:
-            if _SEPARATORS.search(text):
-                return self._packed([text])[0]
-            chunks = text.split()
+        if not self.spaced:
+            return self._packed([text])[0] if _SEPARATORS.search(text) else self._joined(text.split())
+        chunks: list[str] = []
+        for line in _LINE.split(text):
+            if chunks:
+                chunks.append("\n")
+            if _RUN.search(line):
+                chunks.append(line)
+            else:
+                chunks += _WORD.findall(line)
+        return self._joined(chunks)
+
+    def _joined(self, chunks: list[str]) -> bytes:
         cache = self.cache
         try:
             return b"".join([cache[x] for x in chunks])
