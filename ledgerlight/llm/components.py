@@ -1,6 +1,7 @@
 """Connected components by alternating large and small stars.
 
-Every round is a few joins and sums by node. Edges, nodes and labels stay in
+Every round is a few joins and sums by node. The least neighbours are written
+before they are joined, so the edges of a node with many can be split. Edges, nodes and labels stay in
 tables in the shared folder; only two numbers per round reach the driver, to
 see whether anything changed.
 """
@@ -16,7 +17,7 @@ from ledgerlight.session import settle
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each greater neighbour of a node is tied to the node's least neighbour (or itself)."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m"))
+    least = settle(both.groupBy("a").agg(F.min("b").alias("m")))
     return (
         both.join(least, "a")
         .filter("b > a")
@@ -27,7 +28,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are tied to the least of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = settle(edges.groupBy("a").agg(F.min("b").alias("m")))
     moved = edges.join(least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -46,7 +47,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     before = seen(now)
     while before[0]:
-        now = settle(_small_star(_large_star(now)))
+        now = settle(_small_star(settle(_large_star(now))))
         after = seen(now)
         if after == before:
             break

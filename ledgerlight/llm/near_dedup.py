@@ -12,9 +12,10 @@ maxima of both, and equal registers are likelier the more similar two sets are.
    with the members. A pair goes on if the joint likelihood of its registers
    doesn't rule out the threshold, and is then verified on the full sets.
 4. Buckets of four or more whose members aren't in one component by then are
-   compared through, in blocks of members: only registers are read, and only
-   pairs that are in different components and plausible come out to be
-   verified. Nothing is capped.
+   compared through, in blocks of members that hold registers and full sets:
+   pairs in different components that are plausible are verified there, and
+   only links come out, one for each pair of components that meet. Nothing is
+   capped.
 
 A text without words has an empty set and is linked with nothing. Null texts
 count as empty. Repeated rows fall into one class. Rows that agree in id and
@@ -174,22 +175,27 @@ def _probable(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return joined.filter(plausible_pair("ra", "rb", "na", "nb")).select("a", "b")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose full sets are as similar as asked.
+def _sets(nodes: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """node and shingles of the given classes.
 
-    Only texts of documents that stand for a class in a pair are read again and
+    Only texts of documents that stand for one of them are read again and
     shuffled, found by a bit filter over their ids.
     """
-    nodes = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     ids = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1).cast("long")))
     wanted = key_filter(nodes.join(classes, "node").select(F.col("id").alias("doc_id")), ids)
     texts = passing(rows, ids, wanted, "__needed").filter("__needed").select("doc_id", "text")
-    sets = settle(
+    return settle(
         texts.mapInArrow(_full_sets, "node binary, shingles array<long>")
         .join(nodes, "node", "left_semi")
         .groupBy("node")
         .agg(F.first("shingles").alias("shingles"))
     )
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs whose full sets are as similar as asked."""
+    nodes = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    sets = _sets(nodes, rows, classes)
     first = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     second = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
@@ -202,27 +208,38 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFram
     )
 
 
-def _block_pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Plausible pairs across components between two blocks of one bucket (or inside one)."""
+def _block_links(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Links across components between two blocks of one bucket (or inside one), verified.
+
+    Members that a link has just joined are not compared any more.
+    """
     _, low, high = (x.as_py() for x in key)
-    node = np.array(table.column("node").to_pylist(), object)
-    label = np.array(table.column("label").to_pylist(), object)
+    node = table.column("node").to_pylist()
+    names, group = np.unique(np.array(table.column("label").to_pylist(), object), return_inverse=True)
+    group = group.copy()
     block = table.column("block").to_numpy()
     size = table.column("n_shingles").to_numpy().astype(float)
     rows = _matrix(table.column("registers").to_pylist())
+    sets = table.column("shingles")
     left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
     out_a, out_b = [], []
     for k, i in enumerate(left):
         others = right[k + 1 :] if low == high else right
-        others = others[label[others] != label[i]]
+        others = others[group[others] != group[i]]
         if not len(others):
             continue
         fits = plausible(
             np.broadcast_to(rows[i], (len(others), REGISTERS)), rows[others], np.full(len(others), size[i]), size[others]
         )
+        own = np.array(sets[int(i)].values) if fits.any() else None
         for j in others[fits]:
-            out_a.append(max(node[i], node[j]))
-            out_b.append(min(node[i], node[j]))
+            if group[j] == group[i]:
+                continue
+            common = len(np.intersect1d(own, np.array(sets[int(j)].values), assume_unique=True))
+            if 100 * common >= PERCENT * (size[i] + size[j] - common):
+                out_a.append(max(node[i], node[j]))
+                out_b.append(min(node[i], node[j]))
+                group[group == group[j]] = group[i]
     return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
 
 
@@ -231,18 +248,20 @@ def _labelled(frame: DataFrame, found: DataFrame) -> DataFrame:
     return frame.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _through(buckets: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    """Candidate pairs left in buckets of four or more that hold several components."""
+def _through(buckets: DataFrame, rows: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """Links left in buckets of four or more that hold several components."""
     members = settle(_labelled(buckets.filter("size > 3").select("bucket", "node", "size"), found))
-    mixed_up = (
+    mixed_up = settle(
         members.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("bucket")
     )
+    left = settle(members.join(mixed_up, "bucket"))
+    sets = _sets(settle(left.select("node").distinct()), rows, classes)
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("node"), blocks).cast("int")
     dealt = (
-        members.join(mixed_up, "bucket")
-        .join(classes.select("node", "n_shingles", "registers"), "node")
-        .select("bucket", "node", "label", "n_shingles", "registers", block.alias("block"), blocks.alias("blocks"))
+        left.join(classes.select("node", "n_shingles", "registers"), "node")
+        .join(sets, "node")
+        .withColumns({"block": block, "blocks": blocks})
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
             "bucket",
@@ -252,10 +271,11 @@ def _through(buckets: DataFrame, classes: DataFrame, found: DataFrame) -> DataFr
             "label",
             "n_shingles",
             "registers",
+            "shingles",
             "block",
         )
     )
-    return dealt.groupBy("bucket", "low", "high").applyInArrow(_block_pairs, "a binary, b binary").distinct()
+    return settle(dealt.groupBy("bucket", "low", "high").applyInArrow(_block_links, "a binary, b binary").distinct())
 
 
 def linked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -282,13 +302,12 @@ def linked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     links = _verified(settle(_probable(stars, classes)), rows, classes)
     found = components(links)
-    rest = settle(_through(buckets, classes, found))
-    if not rest.isEmpty():
-        links = links.unionByName(_verified(rest, rows, classes))
-        found = components(links)
+    more = _through(buckets, rows, classes, found)
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
     labelled = _labelled(classes.select("node", "id"), found)
     first = F.min(F.struct(F.col("id").isNull(), "id", "node"))
-    named = labelled.groupBy("label").agg(first.alias("first"))
+    named = settle(labelled.groupBy("label").agg(first.alias("first")))
     return sketches, labelled.join(named, "label").select(
         "node", F.col("first.id").alias("component_id"), F.col("first.node").alias("first_node")
     )
