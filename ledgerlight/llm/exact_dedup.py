@@ -82,7 +82,8 @@ def exact_groups(
     counted = (
         scanned.filter("__suspect").groupBy("doc_id", "__length", "__digest").agg(F.count("*").alias("__copies"))
     )
-    groups = (
+    # Written first, so that the join below reads two plain shuffles and can split a large group.
+    groups = settle(
         scanned.filter("__suspect")
         .groupBy("__length", "__digest")
         .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
