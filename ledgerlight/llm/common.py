@@ -9,6 +9,7 @@ import sys
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -143,6 +144,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def forget_codes() -> None:
+    """Give a worker's memory back at the end of a task; the next one may be of another kind."""
+    _codes.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def word_codes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_codes.__getitem__, words), np.uint64, len(words))
 

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType
 
-from ledgerlight.llm.common import documents, key_filter, mixed, passing, shingles, words_of
+from ledgerlight.llm.common import documents, forget_codes, key_filter, mixed, passing, shingles, words_of
 from ledgerlight.llm.components import components
 from ledgerlight.session import settle
 
@@ -73,16 +73,19 @@ def set_key(codes: np.ndarray) -> bytes | None:
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingles(words_of(x.as_py()), WORDS) for x in batch.column(1)]
-        yield pa.record_batch(
-            [
-                batch.column(0),
-                pa.array([len(x) for x in sets], pa.int64()),
-                pa.array([set_key(x) for x in sets], pa.binary()),
-                pa.array([registers(x).tobytes() if len(x) else None for x in sets], pa.binary()),
-            ],
-            ["doc_id", "n_shingles", "node", "registers"],
-        )
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            sets = [shingles(words_of(x.as_py()), WORDS) for x in part.column(1)]
+            yield pa.record_batch(
+                [
+                    part.column(0),
+                    pa.array([len(x) for x in sets], pa.int64()),
+                    pa.array([set_key(x) for x in sets], pa.binary()),
+                    pa.array([registers(x).tobytes() if len(x) else None for x in sets], pa.binary()),
+                ],
+                ["doc_id", "n_shingles", "node", "registers"],
+            )
+    forget_codes()
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,6 +99,7 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ],
                 ["node", "shingles"],
             )
+    forget_codes()
 
 
 def plausible(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray) -> np.ndarray:
