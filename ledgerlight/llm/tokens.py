@@ -16,7 +16,7 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 CACHED_CHARS = 40
 # A space beside other white space may belong to a longer token.
 _RUN = re.compile(r" \s|\s ")
