@@ -12,10 +12,13 @@ from ledgerlight.llm import (
     class_lm,
     exact_dedup,
     fingerprints,
+    languages,
+    merkle,
     mixing,
     near_dedup,
     packing,
     passages,
+    prefix_trie,
     quality,
     records,
     url_rules,
@@ -105,6 +108,26 @@ def lm_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def trie_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.identify(table(spark, sf_dir, "documents"))
+
+
+def merkle_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered(table(spark, sf_dir, "documents"))
+
+
+def crc_sql(value: str) -> str:
+    """crc32 of an ASCII text, bit by bit."""
+    return f"""xor(list_reduce(
+      list_prepend(4294967295, list_transform(range(1, len({value}) + 1), lambda i: ascii(substr({value}, i, 1))::BIGINT)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+        lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"""
+
+
 MIXING_SQL = f"""
 WITH mass AS (
   SELECT source, sum(coalesce(length(text), 0))::DOUBLE AS chars FROM documents GROUP BY source
@@ -179,6 +202,96 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = comp
 FROM sets JOIN named USING (doc_id)
 """
 
+_LEAF = """sha256(concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-'), coalesce(strlen(source) || ':' || source, '-'),
+      coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-'),
+      coalesce(strlen({text}) || ':' || {text}, '-')))"""
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+MERKLE_SQL = f"""
+WITH RECURSIVE given AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, {_LEAF.format(text="text")} AS leaf,
+    {_LEAF.format(text=_LOWERED)} AS lowered
+  FROM documents
+), checked AS (
+  SELECT *, {crc_sql("coalesce(doc_id::VARCHAR, '')")} % 3 = 0 AS touched FROM given
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n
+  FROM checked
+), levels(lvl, lang, pos, n, digest) AS (
+  SELECT 0, lang, pos, n, leaf FROM placed
+  UNION ALL
+  SELECT lvl + 1, lang, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM levels WHERE n > 1
+  GROUP BY lvl, lang, pos // 8, n
+), subroots AS (
+  SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM levels WHERE n = 1
+), uppers(lvl, pos, n, digest) AS (
+  SELECT 0, pos, n, subroot FROM subroots
+  UNION ALL
+  SELECT lvl + 1, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM uppers WHERE n > 1
+  GROUP BY lvl, pos // 8, n
+), beside AS (
+  SELECT p.r, x.lvl, coalesce(string_agg(x.digest, '' ORDER BY x.pos) FILTER (x.pos < p.pos // (1 << (3 * x.lvl))), '') AS l,
+    coalesce(string_agg(x.digest, '' ORDER BY x.pos) FILTER (x.pos > p.pos // (1 << (3 * x.lvl))), '') AS g
+  FROM placed p JOIN levels x ON x.lang IS NOT DISTINCT FROM p.lang AND x.n > 1 AND x.pos // 8 = p.pos // (8 << (3 * x.lvl))
+  GROUP BY p.r, x.lvl
+  UNION ALL
+  SELECT p.r, 1000 + x.lvl, coalesce(string_agg(x.digest, '' ORDER BY x.pos) FILTER (x.pos < s.pos // (1 << (3 * x.lvl))), ''),
+    coalesce(string_agg(x.digest, '' ORDER BY x.pos) FILTER (x.pos > s.pos // (1 << (3 * x.lvl))), '')
+  FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang JOIN uppers x ON x.n > 1 AND x.pos // 8 = s.pos // (8 << (3 * x.lvl))
+  GROUP BY p.r, x.lvl
+), steps AS (
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY lvl) AS step FROM beside
+), folded(r, step, digest) AS (
+  SELECT r, 0, CASE WHEN touched THEN lowered ELSE leaf END FROM placed
+  UNION ALL
+  SELECT f.r, f.step + 1, sha256(s.l || f.digest || s.g) FROM folded f JOIN steps s ON s.r = f.r AND s.step = f.step + 1
+), ends AS (
+  SELECT r, arg_max(digest, step) AS folded_root FROM folded GROUP BY r
+), proofs AS (
+  SELECT r, sha256(string_agg(l || g, '' ORDER BY step)) AS proof FROM steps GROUP BY r
+)
+SELECT doc_id, leaf, subroot, digest AS root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = digest AS verified
+FROM placed JOIN ends USING (r) LEFT JOIN proofs USING (r) JOIN subroots s ON s.lang IS NOT DISTINCT FROM placed.lang
+  JOIN uppers u ON u.n = 1
+"""
+
+TRIE_SQL = rf"""
+WITH told AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), coded AS (
+  SELECT conv_id, turn, substr(sha256(strlen(role) || ':' || role || text), 1, 32) AS code,
+    len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w != '')) AS words
+  FROM told
+), original AS (
+  SELECT conv_id, list({{'code': code, 'words': words}} ORDER BY turn NULLS FIRST, code, words) AS turns FROM coded GROUP BY conv_id
+), drawn AS (
+  SELECT *, ({crc_sql("conv_id::VARCHAR")} % 4)::INTEGER AS h FROM original
+), rebuilt AS (
+  SELECT d.conv_id, list_concat(coalesce(b.turns, [])[1:d.h], d.turns[d.h + 1:]) AS turns
+  FROM drawn d LEFT JOIN original b ON b.conv_id = d.conv_id - d.conv_id % 20
+), prefixes AS (
+  SELECT conv_id, len(turns) AS size, turns, CAST(unnest(range(0, len(turns) + 1)) AS BIGINT) AS depth FROM rebuilt
+), members AS (
+  SELECT conv_id, size, depth, coalesce(array_to_string(list_transform(turns[1:depth], lambda t: t.code), ''), '') AS path,
+    CASE WHEN depth = 0 THEN 0 ELSE turns[depth].words END AS words
+  FROM prefixes
+), nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = depth), '')) AS ends_sha256
+  FROM members GROUP BY path, depth
+), kids AS (
+  SELECT substr(path, 1, 32 * (depth - 1)) AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL
+), counted AS (
+  SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids USING (path)
+), above AS (
+  SELECT substr(path, 1, 32 * unnest(range(0, depth + 1))) AS path, n_children = 0 AS is_leaf, (n_convs - 1) * words AS saved FROM counted
+), sums AS (
+  SELECT path, count(*) FILTER (is_leaf) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM above GROUP BY path
+)
+SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, n_leaves, saved_tokens, c.ends_sha256
+FROM counted c JOIN sums USING (path)
+  LEFT JOIN nodes p ON c.depth > 0 AND p.path = substr(c.path, 1, 32 * (c.depth - 1))
+"""
+
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,6 +313,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": quality_query,
         "op9_best_fit_packing": packing_query,
         "op10_class_lm": lm_query,
+        "op11_prefix_trie": trie_query,
+        "op12_language": language_query,
+        "op13_merkle": merkle_query,
     }
     return {name: _shipped(query) for name, query in found.items()}
 
@@ -210,4 +326,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_url_rules": URL_SQL,
         "op6_exact_dedup": EXACT_SQL,
         "op7_near_dedup": NEAR_SQL,
+        "op11_prefix_trie": TRIE_SQL,
+        "op13_merkle": MERKLE_SQL,
     }
