@@ -14,7 +14,6 @@ from functools import partial
 import numpy as np
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    GBTClassifier,
     LogisticRegression,
     NaiveBayes,
     RandomForestClassifier,
@@ -26,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight.functions.neighbours import nearest
 from ledgerlight.functions.ordered import running
+from ledgerlight.operators import boosting
 from ledgerlight.operators.discriminant import Discriminant, lda_fit, stratified_folds
 from ledgerlight.operators.prepare import LABEL
 from ledgerlight.session import settle
@@ -98,21 +98,34 @@ def _fit(estimator, df: DataFrame, features: Sequence[str], label: str, classes:
     return SparkModel(estimator.fit(_assembled(df, features).select(*keep)), list(features), classes)
 
 
-def decision_tree(df, features, label=LABEL, classes=CLASSES, weight=None, max_depth=5, seed=42) -> SparkModel:
-    return _fit(DecisionTreeClassifier(maxDepth=max_depth, seed=seed), df, features, label, classes, weight)
+def decision_tree(
+    df, features, label=LABEL, classes=CLASSES, weight=None, max_depth=5, seed=42, impurity="gini", min_rows=1, min_share=0.0,
+    min_gain=0.0, bins=32,
+) -> SparkModel:
+    """One tree; a leaf keeps ``min_rows`` rows and ``min_share`` of the weight, a split gains ``min_gain``."""
+    maker = DecisionTreeClassifier(
+        maxDepth=max_depth, seed=seed, impurity=impurity, minInstancesPerNode=min_rows, minWeightFractionPerNode=min_share,
+        minInfoGain=min_gain, maxBins=bins,
+    )
+    return _fit(maker, df, features, label, classes, weight)
 
 
-def random_forest(df, features, label=LABEL, classes=CLASSES, weight=None, trees=20, max_depth=5, seed=42) -> SparkModel:
-    maker = RandomForestClassifier(numTrees=trees, maxDepth=max_depth, seed=seed)
+def random_forest(
+    df, features, label=LABEL, classes=CLASSES, weight=None, trees=20, max_depth=5, seed=42, impurity="gini", min_rows=1,
+    min_share=0.0, min_gain=0.0, bins=32, subset="auto", rows=1.0, bootstrap=True,
+) -> SparkModel:
+    """Trees over drawn rows (share ``rows``) that see a ``subset`` of the columns at each split."""
+    maker = RandomForestClassifier(
+        numTrees=trees, maxDepth=max_depth, seed=seed, impurity=impurity, minInstancesPerNode=min_rows,
+        minWeightFractionPerNode=min_share, minInfoGain=min_gain, maxBins=bins, featureSubsetStrategy=str(subset),
+        subsamplingRate=rows, bootstrap=bootstrap,
+    )
     return _fit(maker, df, features, label, classes, weight)
 
 
-def bagging(df, features, label=LABEL, classes=CLASSES, weight=None, trees=20, max_depth=5, seed=42) -> SparkModel:
+def bagging(df, features, label=LABEL, classes=CLASSES, weight=None, trees=20, max_depth=5, seed=42, **settings) -> SparkModel:
     """Bootstrapped trees that see every column."""
-    maker = RandomForestClassifier(
-        numTrees=trees, maxDepth=max_depth, featureSubsetStrategy="all", seed=seed
-    )
-    return _fit(maker, df, features, label, classes, weight)
+    return random_forest(df, features, label, classes, weight, trees, max_depth, seed, subset="all", **settings)
 
 
 def gaussian_nb(df, features, label=LABEL, classes=CLASSES, weight=None) -> SparkModel:
@@ -184,43 +197,38 @@ def adaboost(
     return Boosted(trees, alphas, list(features), classes)
 
 
+def _mean_importances(models: Sequence[Model]) -> dict[str, float]:
+    found = [m.importances() for m in models]
+    return {c: sum(f.get(c, 0.0) for f in found) / len(found) for c in (found[0] if found else {})}
+
+
 @dataclass
-class OneVsRest(Model):
-    """Binary models per class, their positive probabilities normalised."""
+class GradientBoosted(Model):
+    """Softmax-boosted trees."""
 
-    models: list[SparkModel]
+    fitted: boosting.Boosting
     classes: int = CLASSES
 
     def probabilities(self, df: DataFrame, out: str) -> DataFrame:
-        rated = df
-        for c, model in enumerate(self.models):
-            rated = model.probabilities(rated, f"__c{c}")
-        values = F.array(*[F.get(f"__c{c}", F.lit(1)) for c in range(len(self.models))])
-        return rated.withColumn(out, _normalised(values)).drop(*[f"__c{c}" for c in range(len(self.models))])
+        return df.withColumn(out, self.fitted.probability(boosting.values_of(self.fitted.features)))
 
     def importances(self) -> dict[str, float]:
-        return _mean_importances(self.models)
-
-
-def _mean_importances(models: Sequence[Model]) -> dict[str, float]:
-    found = [m.importances() for m in models]
-    return {c: sum(f.get(c, 0.0) for f in found) / len(found) for c in (found[0] if found else {})}
+        return self.fitted.gains()
 
 
 def gradient_boosting(
-    df, features, label=LABEL, classes=CLASSES, rounds=5, max_depth=3, step=0.1, seed=42, weight=None
-) -> Model:
-    """Boosted trees: one binary model, or one per class against the rest."""
-    def binary(rows: DataFrame) -> SparkModel:
-        maker = GBTClassifier(maxIter=rounds, maxDepth=max_depth, stepSize=step, seed=seed)
-        return _fit(maker, rows, features, "__b", 2, weight)
+    df, features, label=LABEL, classes=CLASSES, weight=None, positive_weight=None, **settings
+) -> GradientBoosted:
+    """Boosted trees with the settings of ``boosting.Settings``.
 
-    if classes == 2:
-        return binary(df.withColumn("__b", F.col(label)))
-    rows = df.select(*features, label, *([weight] if weight else [])).persist()
-    models = [binary(rows.withColumn("__b", (F.col(label) == c).cast("int"))) for c in range(classes)]
-    rows.unpersist()
-    return OneVsRest(models, classes)
+    ``positive_weight`` weights the rows of class 1 where there are two classes.
+    """
+    rows = df
+    if positive_weight is not None and classes == 2:
+        own = F.col(weight) if weight else F.lit(1.0)
+        rows = df.withColumn("__pw", own * F.when(F.col(label) == 1, F.lit(float(positive_weight))).otherwise(1.0))
+        weight = "__pw"
+    return GradientBoosted(boosting.fit(rows, features, label, classes, weight, boosting.Settings(**settings)), classes)
 
 
 # ---- nearest neighbours ---------------------------------------------------------------------
@@ -344,6 +352,12 @@ class TwoStage(Model):
         return rated.withColumn(out, two_stage_combine(late, F.col("__two"), self.classes)).drop("__one", "__two")
 
 
+def _stages(df: DataFrame, label: str, classes: int) -> list[tuple[DataFrame, int]]:
+    """Rows and number of classes of each stage; the stage's label is ``__s``."""
+    late_rows = df.filter(F.col(label) > 0).withColumn("__s", F.col(label) - 1)
+    return [(df.withColumn("__s", (F.col(label) > 0).cast("int")), 2), (late_rows, classes - 1)]
+
+
 def two_stage_classifier(
     df,
     features,
@@ -354,20 +368,21 @@ def two_stage_classifier(
     masks: tuple[Sequence[str], Sequence[str]] | None = None,
     lda: tuple[bool, bool] = (False, False),
     lda_mode: str = "append",
+    stage1: dict | None = None,
+    stage2: dict | None = None,
 ) -> TwoStage:
-    """On time or late, then how late among the late rows, each with its own columns."""
+    """On time or late, then how late among the late rows, each with its own columns and settings."""
     columns = masks or (features, features)
-    late_rows = df.filter(F.col(label) > 0).withColumn("__s", F.col(label) - 1)
-    sides = [(df.withColumn("__s", (F.col(label) > 0).cast("int")), 2, first), (late_rows, classes - 1, second)]
     models, discriminants = [], []
-    for (rows, count, maker), own, wanted in zip(sides, columns, lda):
+    makers = ((first, stage1 or {}), (second, stage2 or {}))
+    for (rows, count), (maker, settings), own, wanted in zip(_stages(df, label, classes), makers, columns, lda):
         found = lda_fit(rows, own, "__s") if wanted else None
         names = list(own)
         if found is not None:
             rows = found.transform(rows)
             scores = [f"LD{i + 1}" for i in range(found.directions.shape[1])]
             names = scores if lda_mode == "replace" else names + scores
-        models.append(maker(rows, names, "__s", count))
+        models.append(maker(rows, names, "__s", count, **settings))
         discriminants.append(found)
     return TwoStage(*models, *discriminants, lda_mode, classes)
 
@@ -476,28 +491,101 @@ def _placed(df: DataFrame, seed: int, salt: str, out: str, key: str) -> DataFram
 def permutation_importance(
     model: Model, df: DataFrame, features: Sequence[str], label: str = LABEL, key: str = "id", repeats: int = 5, seed: int = 42
 ) -> DataFrame:
-    """Mean loss of accuracy when one column's values are dealt out anew."""
-
-    def accuracy(rows: DataFrame) -> float:
-        hit = (F.col("prediction") == F.col(label)).cast("double")
-        return model.transform(rows).agg(F.avg(hit)).head()[0]
+    """Mean loss of accuracy when one column's values are dealt out anew.
 
+    Each repeat puts the rows into one random order, and a row takes the value
+    of the one before it (the first that of the last). All columns and repeats
+    are scored in one plan, as copies of the rows with one column replaced.
+    """
     rows = settle(df.select(key, *features, label))
-    start = accuracy(rows)
-    found = []
-    for feature in features:
-        drops = []
-        for r in range(repeats):
-            givers = _placed(rows.select(key, F.col(feature).alias("__new")), seed + r, "give", "__p", key)
-            takers = _placed(rows, seed + r, "take", "__p", key)
-            mixed = takers.join(givers.select("__p", "__new"), "__p").withColumn(feature, F.col("__new"))
-            drops.append(start - accuracy(mixed.drop("__p", "__new")))
-        found.append((feature, float(np.mean(drops)), float(np.std(drops))))
-    return df.sparkSession.createDataFrame(found, "feature string, importance double, spread double").orderBy(
-        F.desc("importance"), "feature"
+    count = rows.count()
+    copies = rows.withColumns({"__swapped": F.lit(-1), "__repeat": F.lit(0)})
+    which = F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1)))
+    for r in range(repeats):
+        placed = settle(_placed(rows, seed + r, "deal", "__p", key))
+        givers = placed.select((F.col("__p") % count + 1).alias("__p"), F.struct(*features).alias("__given"))
+        dealt = placed.join(givers, "__p").withColumns({"__swapped": which, "__repeat": F.lit(r)})
+        swapped = {c: F.when(F.col("__swapped") == i, F.col(f"__given.`{c}`")).otherwise(F.col(f"`{c}`")) for i, c in enumerate(features)}
+        copies = copies.unionByName(dealt.withColumns(swapped).drop("__p", "__given"))
+    # Models that look rows up by their key need one per copy.
+    keyed = copies.withColumn(key, F.xxhash64(key, "__swapped", "__repeat")) if key == "id" else copies
+    hit = (F.col("prediction") == F.col(label)).cast("double")
+    scores = settle(model.transform(settle(keyed)).groupBy("__swapped", "__repeat").agg(F.avg(hit).alias("hit")))
+    start = scores.filter("__swapped = -1").select("hit").head()
+    names = F.array(*[F.lit(c) for c in features])
+    drop = F.lit(start["hit"] if start else None) - F.col("hit")
+    return (
+        scores.filter("__swapped >= 0")
+        .groupBy(F.get(names, F.col("__swapped")).alias("feature"))
+        .agg(F.avg(drop).alias("importance"), F.stddev_pop(drop).alias("spread"))
+        .orderBy(F.desc("importance"), "feature")
     )
 
 
+@dataclass(frozen=True)
+class Chosen:
+    """Columns kept for a second fit (per stage where a model has stages) and why."""
+
+    method: str
+    parameters: str
+    kept: list[str] | dict[str, list[str]]
+    weights: dict
+
+    def refit(self, fit: Callable, df: DataFrame, label: str, classes: int, settings: dict) -> Model:
+        if isinstance(self.kept, dict):
+            masks = (self.kept["stage_1"], self.kept["stage_2"])
+            every = list(dict.fromkeys([*masks[0], *masks[1]]))
+            return fit(df, every, label, classes, masks=masks, **settings)
+        return fit(df, self.kept, label, classes, **settings)
+
+
+def _permuted(model: Model, df: DataFrame, features: Sequence[str], label: str, repeats: int, seed: int) -> dict[str, float]:
+    found = permutation_importance(model, df, features, label, repeats=repeats, seed=seed)
+    return {r["feature"]: r["importance"] or 0.0 for r in found.collect()}
+
+
+def choose_columns(
+    model: Model,
+    df: DataFrame,
+    features: Sequence[str],
+    label: str = LABEL,
+    threshold: str | float = "median",
+    top_k: int | None = None,
+    repeats: int = 5,
+    seed: int = 42,
+) -> Chosen:
+    """Columns that matter to a fitted model, by what that kind of model offers.
+
+    Trees have importances; Gaussian naive Bayes is judged by the spread of its
+    class means, neighbours and stacks by permutation; the stages of a two-stage
+    model are judged apart. ``top_k`` bounds the kinds that rank all columns.
+    """
+    limit = f"threshold={threshold!r}"
+    if isinstance(model, TwoStage):
+        weights, kept = {}, {}
+        sides = zip(("stage_1", "stage_2"), (model.first, model.second), (model.first_lda, model.second_lda), _stages(df, label, model.classes))
+        for name, stage, lda, (rows, _) in sides:
+            own = stage.importances()
+            if not own and lda is None:
+                own = _permuted(stage, rows, features, "__s", repeats, seed)
+            weights[name] = {c: w for c, w in own.items() if c in features}
+            replaced = lda is not None and model.lda_mode == "replace"
+            kept[name] = list(features) if replaced or not weights[name] else select_from_model(weights[name], threshold)
+        return Chosen("Feature importance per stage", limit, kept, weights)
+    if isinstance(model, SparkModel) and type(model.model).__name__.startswith("NaiveBayes"):
+        rows = gnb_influence(df, features, label).collect()
+        weights = {r["feature"]: r["influence"] if r["influence"] is not None else 0.0 for r in rows}
+        return Chosen("GaussianNB influence score", f"top_k={top_k!r}", list(weights)[:top_k], weights)
+    weights = model.importances()
+    if weights:
+        return Chosen("Feature importance", limit, select_from_model(weights, threshold), weights)
+    weights = _permuted(model, df, features, label, repeats, seed)
+    if isinstance(model, KNearest):
+        return Chosen("Permutation importance", f"top_k={top_k!r}, n_repeats={repeats}", list(weights)[:top_k], weights)
+    kept = select_from_model(weights, threshold)
+    return Chosen("Permutation importance", f"{limit}, n_repeats={repeats}", kept, weights)
+
+
 def feature_weights_table(
     spark: SparkSession, weights: dict, method: str, parameters: str = "none"
 ) -> DataFrame:
@@ -531,3 +619,61 @@ MODELS |= {
     f"two_stage_{a}_{b}": partial(two_stage_classifier, first=MODELS[_SHORT[a]], second=MODELS[_SHORT[b]])
     for a, b in (("ada", "xgb"), ("rf", "ada"), ("rf", "rf"), ("xgb", "ada"), ("xgb", "rf"), ("xgb", "xgb"))
 }
+
+# ---- stored settings ------------------------------------------------------------------------------
+
+#: Names that stored settings use in the usual libraries, by kind of model. Fixed values.
+STORED: dict[str, dict[str, str]] = {
+    "tree": {
+        "max_depth": "max_depth", "criterion": "impurity", "min_samples_leaf": "min_rows", "min_weight_fraction_leaf": "min_share",
+        "min_impurity_decrease": "min_gain", "random_state": "seed",
+    },
+    "forest": {"n_estimators": "trees", "max_features": "subset", "max_samples": "rows", "bootstrap": "bootstrap"},
+    "ada": {"n_estimators": "rounds", "learning_rate": "learning_rate", "max_depth": "max_depth", "random_state": "seed"},
+    "boosted": {
+        "n_estimators": "rounds", "learning_rate": "step", "max_depth": "max_depth", "subsample": "rows", "colsample_bytree": "columns",
+        "reg_alpha": "l1", "reg_lambda": "l2", "gamma": "min_gain", "min_child_weight": "min_weight", "max_bin": "bins",
+        "scale_pos_weight": "positive_weight", "random_state": "seed",
+    },
+    "knn": {"n_neighbors": "k"},
+    "bayes": {},
+}
+STORED["forest"] |= STORED["tree"]
+#: Settings that say where and how loudly to compute, not what.
+ELSEWHERE = {"device", "tree_method", "n_jobs", "verbosity", "verbose", "objective", "num_class", "eval_metric", "use_label_encoder", "algorithm", "cv"}
+_KINDS = {
+    "ada_boost": "ada", "adaboost": "ada", "decision_tree": "tree", "gaussian_naive_bayes": "bayes", "knn": "knn",
+    "random_forest": "forest", "bagging": "forest", "xgboost": "boosted", "gradient_boosting": "boosted",
+}
+
+
+def stored_settings(model: str, found: dict) -> dict:
+    """Settings of one of ``MODELS`` from stored ones, under our names or the usual libraries'.
+
+    Settings of a two-stage model lie under stage1 and stage2, those of a
+    stack's bases under ``estimators``. An unknown setting is an error.
+    """
+    if model.startswith("two_stage_"):
+        a, b = model.removeprefix("two_stage_").split("_")
+        stages = {"stage1": _SHORT[a], "stage2": _SHORT[b]}
+        rest = {k: v for k, v in found.items() if k not in stages}
+        return rest | {k: stored_settings(kind, found.get(k, {})) for k, kind in stages.items()}
+    if model == "stacked_ensemble":
+        rest = {k: v for k, v in found.items() if k not in ("estimators", *ELSEWHERE)}
+        bases = found.get("estimators")
+        return rest | ({"bases": {n: stored_settings(n, s) for n, s in bases.items()}} if bases else {})
+    kind = _KINDS[model.removeprefix("ordinal_")]
+    names = STORED[kind]
+    ours = {*names.values(), "balance"}
+    out = {}
+    for name, value in found.items():
+        if name in ELSEWHERE or value is None and name in names:
+            continue
+        if name not in names and name not in ours:
+            raise ValueError(f"{model} has no setting {name}")
+        out[names.get(name, name)] = value
+    if out.get("impurity") == "log_loss":
+        out["impurity"] = "entropy"
+    if isinstance(out.get("subset"), float) and kind == "forest":
+        out["subset"] = str(out["subset"])
+    return out

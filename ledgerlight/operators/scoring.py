@@ -1,11 +1,11 @@
-"""Experiments over models and balancing strategies, final models, stored pipelines."""
+"""Grids of experiments, final models, stored pipelines."""
 
 from __future__ import annotations
 
 import datetime as dt
 import itertools
 import json
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -13,25 +13,23 @@ import pyspark.ml.classification as ml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.names import BRACKETS, METRICS
-from ledgerlight.operators import features as feat
+from ledgerlight.names import BRACKETS
+from ledgerlight.operators import experiments, features as feat
+from ledgerlight.operators.boosting import Boosting
 from ledgerlight.operators.discriminant import Discriminant, lda_fit
-from ledgerlight.operators.evaluate import class_scores, accuracy_macro_prf, roc_auc_macro
 from ledgerlight.operators.models import (
     CLASSES,
-    MODELS,
     Boosted,
+    GradientBoosted,
     KNearest,
     Model,
-    OneVsRest,
     Ordinal,
     SparkModel,
     Stacked,
     TwoStage,
-    select_from_model,
 )
-from ledgerlight.operators.prepare import LABEL, Scaler, decode_label, resample, standardize_fit
-from ledgerlight.operators.survival import Cox, survival_features
+from ledgerlight.operators.prepare import LABEL, Scaler, decode_label, standardize_fit
+from ledgerlight.operators.cox import Area, Cox, survival_features
 from ledgerlight.session import settle
 
 # ---- the grid of experiments ------------------------------------------------------------------
@@ -64,61 +62,6 @@ def experiment_matrix(
     return grid.join(done, same, "left_anti")
 
 
-def _balanced(train: DataFrame, columns: Sequence[str], strategy: str, threshold: float | None) -> DataFrame:
-    """Training rows after resampling, columns packed into a vector and unpacked again."""
-    if strategy == "none":
-        return train
-    vec = F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in columns])
-    packed = settle(train.select("id", vec.alias("vec"), LABEL))
-    made = resample(packed, strategy, threshold or 0.5)
-    return made.select("id", LABEL, *[F.get("vec", F.lit(i)).alias(c) for i, c in enumerate(columns)])
-
-
-def evaluate_model(model: Model, test: DataFrame) -> dict[str, float | None]:
-    scored = settle(model.transform(test).select(F.col(LABEL).alias("label"), "prediction", "probability"))
-    row = accuracy_macro_prf(scored).head().asDict()
-    row["roc_auc_macro"] = roc_auc_macro(class_scores(scored)).head()[0]
-    return row
-
-
-def run_experiments(
-    grid: DataFrame, train: DataFrame, test: DataFrame, base: Sequence[str], enhanced: Sequence[str], selection: str | None = None
-) -> Iterator[dict]:
-    """Fit and score every grid row on the base columns and with the survival columns.
-
-    The grid is a short list of settings; each fit is a Spark job over all rows.
-    ``train`` and ``test`` are prepared once and read by all of them.
-    """
-    ready: dict[tuple, DataFrame] = {}
-    for task in grid.orderBy("balance_strategy", "undersample_threshold", "model", "parameters").collect():
-        result = task.asDict()
-        for phase, columns in (("baseline", list(base)), ("enhanced", [*base, *enhanced])):
-            key = (phase, task["balance_strategy"], task["undersample_threshold"])
-            if key not in ready:
-                ready[key] = settle(_balanced(train, columns, *key[1:]))
-            fit: Callable = MODELS[task["model"]]
-            settings = json.loads(task["parameters"])
-            model = fit(ready[key], columns, LABEL, CLASSES, **settings)
-            weights = model.importances()
-            if selection and weights:
-                kept = select_from_model(weights, selection)
-                model = fit(ready[key], kept, LABEL, CLASSES, **settings)
-                weights = model.importances()
-            result |= {f"{phase}_{m}": v for m, v in evaluate_model(model, test).items()}
-            result[f"{phase}_weights_json"] = json.dumps(weights)
-        yield result
-
-
-def experiment_results(spark: SparkSession, results: Sequence[dict]) -> DataFrame:
-    fields = ["model", "parameters", "balance_strategy", "undersample_threshold"]
-    numbers = [f"{p}_{m}" for p in ("baseline", "enhanced") for m in METRICS]
-    texts = [f"{p}_weights_json" for p in ("baseline", "enhanced")]
-    schema = "model string, parameters string, balance_strategy string, undersample_threshold double, " + ", ".join(
-        [f"{n} double" for n in numbers] + [f"{t} string" for t in texts]
-    )
-    return spark.createDataFrame([tuple(r.get(f) for f in fields + numbers + texts) for r in results], schema)
-
-
 # ---- final pipeline -------------------------------------------------------------------------------
 
 
@@ -173,7 +116,7 @@ def finalize_model(
     columns = [*base, *extra]
     rows = rows.fillna(0.0, subset=columns)
     scaler = standardize_fit(rows, columns)
-    balanced = settle(_balanced(scaler.apply(rows).select("id", LABEL, *columns), columns, strategy, threshold))
+    balanced = settle(experiments.balanced(scaler.apply(rows), columns, strategy, threshold))
     lda = lda_fit(balanced, columns) if use_lda else None
     names = list(columns)
     if lda is not None:
@@ -234,8 +177,10 @@ def save_model(spark: SparkSession, model: Model, path: str) -> None:
         meta |= {"features": model.features, "ml": type(model.model).__name__}
     elif isinstance(model, Boosted):
         parts, meta = model.trees, meta | {"alphas": model.alphas, "features": model.features}
-    elif isinstance(model, (OneVsRest, Ordinal)):
+    elif isinstance(model, Ordinal):
         parts = model.models
+    elif isinstance(model, GradientBoosted):
+        meta |= {"fitted": model.fitted.plain()}
     elif isinstance(model, TwoStage):
         parts = [model.first, model.second]
         meta |= {"lda": [_plain(model.first_lda), _plain(model.second_lda)], "mode": model.lda_mode}
@@ -263,13 +208,19 @@ def load_model(spark: SparkSession, path: str) -> Model:
         return Stacked(parts[:-1], parts[-1], classes)
     if kind == "KNearest":
         return KNearest(spark.read.parquet(f"{path}/points"), meta["features"], meta["k"], classes)
-    return {"OneVsRest": OneVsRest, "Ordinal": Ordinal}[kind](parts, classes)
+    if kind == "GradientBoosted":
+        return GradientBoosted(Boosting.of_plain(meta["fitted"]), classes)
+    return Ordinal(parts, classes)
 
 
 def save_pipeline(spark: SparkSession, pipeline: ScoringPipeline, path: str) -> None:
     """Preprocessing and model as one unit."""
     save_model(spark, pipeline.model, f"{path}/model")
-    cox = pipeline.cox and asdict(pipeline.cox)
+    cox = None
+    if pipeline.cox is not None:
+        pipeline.cox.baseline.write.mode("overwrite").parquet(f"{path}/baseline")
+        cox = {f: getattr(pipeline.cox, f) for f in ("beta", "converged", "residual", "steps")}
+        cox |= {"scaler": asdict(pipeline.cox.scaler), "area": asdict(pipeline.cox.area)}
     meta = {
         "base": pipeline.base,
         "columns": pipeline.columns,
@@ -286,7 +237,8 @@ def load_pipeline(spark: SparkSession, path: str) -> ScoringPipeline:
     meta = _read_text(spark, f"{path}/pipeline")
     cox = meta["cox"]
     if cox is not None:
-        cox = Cox(Scaler(**cox["scaler"]), cox["beta"], cox["times"], cox["hazard"])
+        baseline = spark.read.schema("time double, hazard double").parquet(f"{path}/baseline")
+        cox = Cox(**cox | {"scaler": Scaler(**cox["scaler"]), "area": Area(**cox["area"]), "baseline": baseline})
     risk = None if meta["risk"] is None else [tuple(r) for r in meta["risk"]]
     return ScoringPipeline(
         meta["base"],

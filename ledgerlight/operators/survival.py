@@ -1,20 +1,18 @@
-"""Survival estimates: Kaplan-Meier, elastic-net Cox, concordance."""
+"""Survival estimates: cleaning, Kaplan-Meier, time points, imputation, concordance."""
 
 from __future__ import annotations
 
-import itertools
-import json
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.functions.ordered import running
+from ledgerlight.functions.ordered import lagged, running
 from ledgerlight.functions.quantiles import quantiles, value_piece
+from ledgerlight.operators.cox import concordance_by
 from ledgerlight.operators.prepare import Scaler, standardize_fit
+from ledgerlight.session import settle
 
 TINY = 1e-6
 
@@ -76,178 +74,30 @@ def kaplan_meier(df: DataFrame, time: str = "T", event: str = "E") -> DataFrame:
 def steepest_times(curve: DataFrame, points: int = 6, min_gap: float = 14) -> list[int]:
     """Times of the largest drops, at least ``min_gap`` apart, rounded, 0 as 1, sorted.
 
-    A greedy pick over the distinct days of the curve.
+    A drop is placed at the time before it; a curve that starts later starts at
+    (0, 1). Equal drops are taken from the latest. Each pick is one pass over
+    the drops that are far enough from the ones before.
     """
-    rows = curve.select("time", "survival").orderBy("time").collect()
-    times = [0.0] + [r["time"] for r in rows] if not rows or rows[0]["time"] > 0 else [r["time"] for r in rows]
-    survival = [1.0] * (len(times) - len(rows)) + [r["survival"] for r in rows]
-    drops = sorted(
-        ((abs(b - a), i) for i, (a, b) in enumerate(itertools.pairwise(survival))), reverse=True
+    packed = curve.withColumn("here", F.struct("time", "survival"))
+    before = lagged(packed, [], [F.col("time")], value_piece("time"), "here", 1, "past")
+    past = F.coalesce(F.try_element_at("past", F.lit(1)), F.when(F.col("time") > 0, F.struct(F.lit(0.0).alias("time"), F.lit(1.0).alias("survival"))))
+    drops = settle(
+        before.withColumn("from", past)
+        .filter("from is not null")
+        .select(F.col("from.time").alias("time"), F.abs(F.col("survival") - F.col("from.survival")).alias("drop"))
     )
     picked: list[float] = []
-    for _, i in drops:
-        if all(abs(times[i] - t) >= min_gap for t in picked):
-            picked.append(times[i])
-        if len(picked) == points:
+    while len(picked) < points:
+        far = drops
+        for t in picked:
+            far = far.filter(F.abs(F.col("time") - t) >= min_gap)
+        best = far.agg(F.max(F.struct("drop", "time")).alias("best")).head()["best"]
+        if best is None:
             break
+        picked.append(best["time"])
     return [t or 1 for t in sorted(int(round(t)) for t in picked)]
 
 
-# ---- elastic-net Cox regression -----------------------------------------------------------------
-
-
-@dataclass(frozen=True)
-class Cox:
-    """Coefficients over standardised columns, and the baseline hazard by time."""
-
-    scaler: Scaler
-    beta: list[float]
-    times: list[float]
-    hazard: list[float]
-
-    def risk(self) -> Column:
-        return _score(self.scaler.columns, self.beta)
-
-
-def _score(columns: Sequence[str], beta: Sequence[float]) -> Column:
-    terms = [
-        F.least(F.greatest(F.col(f"`{c}`"), F.lit(-10.0)), F.lit(10.0)) * F.lit(float(b))
-        for c, b in zip(columns, beta)
-        if b
-    ]
-    return sum(terms[1:], terms[0]) if terms else F.lit(0.0)
-
-
-def _per_time(df: DataFrame, columns: Sequence[str], beta: Sequence[float], moments: bool) -> np.ndarray:
-    """One row per distinct time: deaths, weight sum, and weighted moments of the columns.
-
-    Durations are whole days, so the rows that come back are bounded by the
-    days observed, whatever the number of invoices.
-    """
-    x = [F.least(F.greatest(F.col(f"`{c}`"), F.lit(-10.0)), F.lit(10.0)) for c in columns]
-    w = F.exp(F.least(F.greatest(_score(columns, beta), F.lit(-30.0)), F.lit(30.0)))
-    sums = [F.sum(F.col("E").cast("double")), F.sum(w)]
-    if moments:
-        sums += [F.sum(F.col("E") * v) for v in x] + [F.sum(w * v) for v in x]
-        sums += [F.sum(w * x[i] * x[j]) for i in range(len(x)) for j in range(i, len(x))]
-    table = df.groupBy("T").agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).orderBy("T")
-    return table.toPandas().to_numpy(dtype=float)
-
-
-def _at_risk(values: np.ndarray) -> np.ndarray:
-    return values[::-1].cumsum(axis=0)[::-1]
-
-
-def cox_elastic_net_fit(
-    scaled: DataFrame,
-    scaler: Scaler,
-    alpha: float = 0.05,
-    l1_ratio: float = 0.5,
-    max_steps: int = 25,
-    tolerance: float = 1e-6,
-) -> Cox:
-    """Penalised partial likelihood (Breslow ties) by proximal Newton steps.
-
-    Each step is one Spark job that sums the risk sets per time; the penalised
-    quadratic in the few coefficients is solved on the driver.
-    """
-    columns = scaler.columns
-    p = len(columns)
-    upper = [(i, j) for i in range(p) for j in range(i, p)]
-    beta = np.zeros(p)
-    count = scaled.count()
-    l1, l2 = alpha * l1_ratio, alpha * (1 - l1_ratio)
-
-    def state(b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        table = _per_time(scaled, columns, b, True)
-        deaths, hit = table[:, 1], table[:, 3 : 3 + p]
-        s0 = _at_risk(table[:, 2])
-        s1 = _at_risk(table[:, 3 + p : 3 + 2 * p])
-        s2 = _at_risk(table[:, 3 + 2 * p :])
-        seen = deaths > 0
-        d, a0, mean = deaths[seen], s0[seen], s1[seen] / s0[seen][:, None]
-        loss = -(hit.sum(axis=0) @ b - (d * np.log(a0)).sum()) / count
-        slope = -(hit.sum(axis=0) - (d[:, None] * mean).sum(axis=0)) / count
-        curve = np.zeros((p, p))
-        weighted = (d[:, None] * s2[seen] / a0[:, None]).sum(axis=0)
-        for value, (i, j) in zip(weighted, upper):
-            curve[i, j] = curve[j, i] = value
-        curve = (curve - (mean * d[:, None]).T @ mean) / count
-        penalty = l1 * np.abs(b).sum() + l2 / 2 * (b @ b)
-        return loss + penalty, slope, curve
-
-    value, slope, curve = state(beta)
-    for _ in range(max_steps):
-        step = beta.copy()
-        for _ in range(200):  # coordinate descent on the quadratic model
-            before = step.copy()
-            for j in range(p):
-                pull = slope[j] + curve[j] @ (step - beta) - curve[j, j] * step[j]
-                soft = np.sign(-pull) * max(abs(pull) - l1, 0.0)
-                step[j] = soft / (curve[j, j] + l2 + 1e-12)
-            if np.abs(step - before).max() < 1e-10:
-                break
-        size = 1.0
-        for _ in range(10):
-            trial = beta + size * (step - beta)
-            new_value, new_slope, new_curve = state(trial)
-            if new_value <= value + 1e-12:
-                break
-            size /= 2
-        moved = np.abs(trial - beta).max()
-        beta, value, slope, curve = trial, new_value, new_slope, new_curve
-        if moved < tolerance:
-            break
-    times, hazard = baseline_hazard(scaled, columns, beta)
-    return Cox(scaler, beta.tolist(), times, hazard)
-
-
-def baseline_hazard(
-    scaled: DataFrame, columns: Sequence[str], beta: Sequence[float]
-) -> tuple[list[float], list[float]]:
-    """Breslow's cumulative baseline hazard at each distinct time."""
-    table = _per_time(scaled, columns, beta, False)
-    hazard = (table[:, 1] / _at_risk(table[:, 2])).cumsum()
-    return table[:, 0].tolist(), hazard.tolist()
-
-
-def survival_features(df: DataFrame, cox: Cox, time_points: Sequence[float]) -> DataFrame:
-    """Survival probability, cumulative hazard, risk and expected time per row.
-
-    ``df`` holds raw columns; the stored scaler is applied to a copy of them.
-    """
-    scaled = {f"__{c}": (F.col(f"`{c}`").cast("double") - m) / s for c, m, s in zip(cox.scaler.columns, cox.scaler.mean, cox.scaler.scale)}
-    filled = {n: F.coalesce(F.when(~F.isnan(v), v), F.lit(0.0)) for n, v in scaled.items()}
-    score = _score(list(filled), cox.beta)
-    rated = df.withColumns(filled).withColumn("log_partial_hazard", score.cast("double")).drop(*filled)
-    rated = rated.withColumn("partial_hazard", F.greatest(F.exp("log_partial_hazard"), F.lit(1e-6)))
-    rated = rated.withColumn("log_partial_hazard", F.log("partial_hazard"))
-
-    def base(t: float) -> float:
-        at = np.searchsorted(cox.times, t, side="right") - 1
-        return cox.hazard[at] if at >= 0 else 0.0
-
-    limit = lambda c: F.least(F.greatest(c, F.lit(-1e15)), F.lit(1e15))
-    columns = {}
-    for t in time_points:
-        hazard = F.col("partial_hazard") * F.lit(base(t))
-        columns[f"surv_prob_{t}"] = F.lit(1.0) if t <= 0 else F.exp(-hazard)
-        columns[f"cum_hazard_{t}"] = F.lit(0.0) if t <= 0 else limit(hazard)
-    times, hazards = list(cox.times), list(cox.hazard)
-    if not times or times[0] > 0:
-        times, hazards = [0.0, *times], [0.0, *hazards]
-    steps = [[h0, h1, t1 - t0] for (t0, h0), (t1, h1) in itertools.pairwise(zip(times, hazards))]
-    slices = F.from_json(F.lit(json.dumps(steps)), "array<array<double>>")  # folded to one literal
-    risk = F.col("partial_hazard")
-    area = F.aggregate(
-        slices,
-        F.lit(0.0),
-        lambda a, s: a + (F.exp(-risk * s[0]) + F.exp(-risk * s[1])) / 2 * s[2],
-    )
-    columns["expected_survival_time"] = limit(area)
-    return rated.withColumns(columns)
-
-
 def median_impute(df: DataFrame, columns: Sequence[str], reference: DataFrame | None = None) -> DataFrame:
     """Infinite values to missing, missing to the reference median, 0 where there is none."""
     finite = lambda d: d.withColumns({c: F.when(_finite(c), F.col(f"`{c}`").cast("double")) for c in columns})
@@ -258,93 +108,6 @@ def median_impute(df: DataFrame, columns: Sequence[str], reference: DataFrame |
     return finite(df).fillna({c: found.get(c, 0.0) for c in columns})
 
 
-def concordance_index(df: DataFrame, time: str, event: str, risk: str, bits: int = 20) -> DataFrame:
-    """Share of comparable pairs the risk orders right, ties one half; one row.
-
-    Times are whole numbers below 2**bits. Two different times first differ at
-    one binary digit, so each pair is met once: among rows sharing the digits
-    above it, the earlier has 0 there and the later 1. Inside such a group
-    pairs are counted by a running count along the risk, never listed.
-    """
-    rows = df.select(
-        F.col(time).cast("bigint").alias("t"),
-        F.col(event).cast("int").alias("e"),
-        F.col(risk).cast("double").alias("r"),
-    )
-    levels = F.array(
-        *[
-            F.struct(
-                F.lit(b).alias("level"),
-                F.shiftright("t", b + 1).alias("group"),
-                (F.shiftright("t", b).bitwiseAND(1) == 1).alias("later"),
-                ((F.shiftright("t", b).bitwiseAND(1) == 0) & (F.col("e") == 1)).alias("counts"),
-            )
-            for b in range(bits)
-        ],
-        F.struct(
-            F.lit(-1).alias("level"),
-            F.col("t").alias("group"),
-            (F.col("e") == 0).alias("later"),
-            (F.col("e") == 1).alias("counts"),
-        ),
-    )
-    placed = rows.select("r", F.inline(levels)).filter("later or counts")
-    counted = placed.groupBy("level", "group", "r").agg(
-        F.count_if(F.col("later")).alias("later"), F.count_if(F.col("counts")).alias("first")
-    )
-    keys = ["level", "group"]
-    ran = running(counted, keys, [F.col("r")], value_piece("r"), {"upto": ("sum", F.col("later"))})
-    totals = counted.groupBy(*keys).agg(F.sum("later").alias("all"))
-    both = ran.join(F.broadcast(totals), keys)  # at most two rows per distinct day and digit
-    good = F.col("first") * (F.col("upto") - F.col("later"))
-    tied = F.col("first") * F.col("later")
-    return both.agg(
-        F.coalesce(F.sum(F.col("first") * F.col("all")), F.lit(0)).alias("comparable"),
-        F.coalesce(F.sum(good), F.lit(0)).alias("concordant"),
-        F.coalesce(F.sum(tied), F.lit(0)).alias("tied"),
-    ).withColumn(
-        "c_index",
-        F.try_divide(F.col("concordant") + F.col("tied") / 2.0, F.col("comparable")),
-    )
-
-
-def cox_grid_search(
-    df: DataFrame,
-    columns: Sequence[str],
-    key: str,
-    alphas: Sequence[float] = (0.01, 0.05, 0.1, 0.5, 1.0, 5.0),
-    l1_ratios: Sequence[float] = (0.1, 0.5, 1.0),
-    folds: int = 5,
-    seed: int = 42,
-) -> DataFrame:
-    """Mean and deviation of the concordance per (alpha, l1_ratio), best first.
-
-    Folds come from a seeded hash. A fold that cannot be fitted is counted in
-    ``failed``; without any result the fallback 0.1, 1.0 is the only row.
-    """
-    spark = df.sparkSession
-    dealt = df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(folds)))
-    scores: dict[tuple[float, float], list[float]] = {}
-    failed: dict[tuple[float, float], int] = {}
-    for fold in range(folds):
-        train = dealt.filter(F.col("fold") != fold)
-        scaled, scaler = survival_clean(train, columns)
-        scaled = scaled.select("T", "E", *columns).persist()
-        held = scaler.apply(dealt.filter(F.col("fold") == fold)).fillna(0.0, subset=list(columns))
-        for pair in itertools.product(alphas, l1_ratios):
-            try:
-                cox = cox_elastic_net_fit(scaled, scaler, *pair)
-                rated = held.withColumn("__risk", cox.risk())
-                found = concordance_index(rated, "T", "E", "__risk").head()["c_index"]
-                if found is None:
-                    raise ValueError("no comparable pairs")
-                scores.setdefault(pair, []).append(found)
-            except (ValueError, FloatingPointError, np.linalg.LinAlgError):
-                failed[pair] = failed.get(pair, 0) + 1
-        scaled.unpersist()
-    rows = [
-        (a, l, float(np.mean(v)), float(np.std(v)), len(v), failed.get((a, l), 0))
-        for (a, l), v in scores.items()
-    ] or [(0.1, 1.0, None, None, 0, sum(failed.values()))]
-    schema = "alpha double, l1_ratio double, mean_c double, std_c double, folds int, failed int"
-    return spark.createDataFrame(rows, schema).orderBy(F.col("mean_c").desc_nulls_last(), "alpha", "l1_ratio")
+def concordance_index(df: DataFrame, time: str, event: str, risk: str) -> DataFrame:
+    """Share of comparable pairs the risk orders right, ties one half; one row."""
+    return concordance_by(df, time, event, risk)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlight.names import BRACKETS, METRICS
-from ledgerlight.operators import discriminant as dis, evaluate as ev, features as feat
+from ledgerlight.operators import cox as hazards, discriminant as dis, evaluate as ev, experiments as ex, features as feat
 from ledgerlight.operators import models as mod, prepare as prep, scoring as sco, survival as sur
 from ledgerlight.functions.neighbours import nearest
 from ledgerlight.plans.inputs import OBSERVATION_END, enrolled, feature_rows, ledger
@@ -13,6 +13,7 @@ from ledgerlight.plans.ledger_queries import KEYS
 from ledgerlight.plans.registry import part, query, staged
 from ledgerlight.plans.result_queries import scratch
 from ledgerlight.session import settle
+from ledgerlight.sources.results import results_read
 from ledgerlight.sources.tables import table
 
 COLUMNS = [
@@ -352,9 +353,9 @@ def _(spark, sf):
     return spark.createDataFrame([(t,) for t in time_points(spark, sf)], "time_point int")
 
 
-def cox(spark, sf) -> sur.Cox:
+def cox(spark, sf) -> hazards.Cox:
     scaled, scaler = sur.survival_clean(_positive(spark, sf), SURVIVAL)
-    return sur.cox_elastic_net_fit(settle(scaled.select("T", "E", *SURVIVAL)), scaler)
+    return hazards.cox_elastic_net_fit(scaled.select("T", "E", *SURVIVAL), scaler)
 
 
 @query("cox_elastic_net_fit", "feature:s;beta:f")
@@ -365,13 +366,12 @@ def _(spark, sf):
 
 @query("baseline_hazard", "time:f;hazard:f")
 def _(spark, sf):
-    found = cox(spark, sf)
-    return spark.createDataFrame(list(zip(found.times, found.hazard)), "time double, hazard double")
+    return cox(spark, sf).baseline
 
 
 @query("survival_features", "id:i;surv_prob_30:f;cum_hazard_30:f;partial_hazard:f;log_partial_hazard:f;expected_survival_time:f")
 def _(spark, sf):
-    return sur.survival_features(lifetimes(spark, sf), cox(spark, sf), [30, 60])
+    return hazards.survival_features(lifetimes(spark, sf), cox(spark, sf), [30, 60])
 
 
 @query(
@@ -400,9 +400,9 @@ def _(spark, sf):
     return sur.concordance_index(rated, "T", "E", "risk")
 
 
-@query("cox_grid_search", "alpha:f;l1_ratio:f;mean_c:f;std_c:f;folds:i;failed:i")
+@query("cox_grid_search", "alpha:f;l1_ratio:f;mean_c:f;std_c:f;folds:i;failed:i;converged:i")
 def _(spark, sf):
-    return sur.cox_grid_search(_positive(spark, sf), SURVIVAL[:2], "id", [0.05], [0.5, 1.0], folds=2)
+    return hazards.cox_grid_search(_positive(spark, sf), SURVIVAL, "id")
 
 
 # ---- classifiers ---------------------------------------------------------------------------------
@@ -426,7 +426,7 @@ _classifier("decision_tree", mod.decision_tree)
 _classifier("random_forest", mod.random_forest, trees=10)
 _classifier("adaboost", mod.adaboost, rounds=3)
 _classifier("gaussian_nb", mod.gaussian_nb)
-_classifier("gradient_boosting", mod.gradient_boosting, rounds=2)
+_classifier("gradient_boosting", mod.gradient_boosting, rounds=10, rows=0.8, columns=0.8, min_weight=3.0)
 _classifier("ordinal_classifier", mod.ordinal_classifier, trees=5)
 _classifier("two_stage_classifier", mod.two_stage_classifier, lda=(False, True))
 _classifier(
@@ -500,8 +500,8 @@ def _(spark, sf):
 @query("permutation_importance", "feature:s;importance:f;spread:f")
 def _(spark, sf):
     train, test = split(spark, sf)
-    model = mod.decision_tree(train, COLUMNS[:4])
-    return mod.permutation_importance(model, test, COLUMNS[:4], repeats=1)
+    model = mod.decision_tree(train, COLUMNS)
+    return mod.permutation_importance(model, test, COLUMNS)
 
 
 @query("feature_weights_table", "stage:s;feature:s;weight:f;method:s;parameters:s")
@@ -535,15 +535,50 @@ def _(spark, sf):
     return _grid(spark, sf)
 
 
+def _setup(spark, sf) -> ex.Setup:
+    """Survival columns from a Cox fit on the training rows and the invoices still open."""
+    train, _ = split(spark, sf)
+    lives = ex.training_lives(_positive(spark, sf), train)
+    scaled, scaler = sur.survival_clean(lives, SURVIVAL)
+    fitted = hazards.cox_elastic_net_fit(scaled.select("T", "E", *SURVIVAL), scaler)
+    return ex.Setup(COLUMNS, fitted, sur.steepest_times(sur.kaplan_meier(lives)))
+
+
+part("tested", "SELECT count(*) - floor(count(*) * 0.8) AS n FROM labelled WHERE label >= 0 AND censor = 1")
+
+
 @query(
     "experiment_run",
-    "model:s;balance_strategy:s;" + ";".join(f"{p}_{m}:f" for p in ("baseline", "enhanced") for m in METRICS),
+    "model:s;balance_strategy:s;undersample_threshold:f;phase:s;tested:i;charts:i;scores:i;weights:i",
+    """SELECT model, s AS balance_strategy, t AS undersample_threshold, phase, (SELECT n FROM tested) AS tested,
+  3 AS charts, 5 AS scores, 1 AS weights
+FROM (SELECT unnest(['decision_tree', 'gaussian_naive_bayes']) AS model),
+  (VALUES ('none', NULL), ('hybrid', 0.7)) v(s, t), (SELECT unnest(['baseline', 'enhanced']) AS phase)""",
 )
 def _(spark, sf):
     train, test = split(spark, sf)
-    grid = sco.experiment_matrix(spark, {"decision_tree": [{"max_depth": 3}]}, ["none", "hybrid"], [0.7])
-    found = sco.run_experiments(grid, train, test, COLUMNS[:6], COLUMNS[6:], selection="median")
-    return sco.experiment_results(spark, list(found))
+    settings = {"decision_tree": [{"max_depth": 3}], "gaussian_naive_bayes": [{}]}
+    tasks = ex.tasks_of(sco.experiment_matrix(spark, settings, ["none", "hybrid"], [0.7]))
+    path, setup = scratch(spark), _setup(spark, sf)
+    # Half of the tasks, then all: the second run fits what the first left.
+    ex.run(spark, tasks[::2], train, test, setup, path, "run")
+    ex.publish(ex.run(spark, tasks, train, test, setup, path, "run"), f"{path}/results")
+    tables = results_read(spark, f"{path}/results")
+    matrix = F.from_json("data", "array<array<bigint>>")
+    seen = F.aggregate(F.flatten(matrix), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    charts = tables["charts"].groupBy("experiment_id", "phase").agg(
+        F.count("*").alias("charts"), F.max(F.when(F.col("chart_type") == "confusion_matrix", seen)).alias("tested")
+    )
+    good = sum((F.col(m).between(0, 1).cast("int") for m in METRICS), F.lit(0)).alias("scores")
+    scores = tables["metrics"].select("experiment_id", "phase", good)
+    given = F.map_keys(F.from_json("weights_json", "map<string,double>"))
+    kept = F.from_json("features_json", "array<string>")
+    inside = (F.size(F.array_except(kept, given)) == 0) & (F.size(kept) > 0)
+    weights = tables["features"].select("experiment_id", "phase", inside.cast("int").alias("weights"))
+    both = ["experiment_id", "phase"]
+    return tables["experiments"].withColumnRenamed("id", "experiment_id").join(
+        charts.join(scores, both).join(weights, both), "experiment_id"
+    )
 
 
 def _final(spark, sf) -> sco.ScoringPipeline:
