@@ -151,24 +151,18 @@ FROM (SELECT school_year, max(due_date) AS last_due FROM ledger GROUP BY ALL),
 @query(
     "due_date_override",
     f"entry_number:i;entry_date:d;{KEYS};discount_refund_applied_to:s;amount_due:m;amount_paid:m;due_date:d",
-    """SELECT l.* REPLACE (CASE WHEN o.due_on IS NULL THEN l.due_date
-  WHEN l.amount_paid <> 0 AND l.due_date < o.due_on THEN o.due_on
-  WHEN l.amount_due <> 0 THEN o.due_on ELSE l.due_date END AS due_date)
-FROM (SELECT *, row_number() OVER () AS rid FROM ledger) l
-LEFT JOIN (SELECT rid, arg_min(due_on, position) AS due_on
-  FROM (SELECT *, row_number() OVER () AS rid FROM ledger) x JOIN overrides v ON x.school_year = v.school_year
-  AND (contains(x.category_name, v.plan_type) OR contains(x.discount_refund_applied_to, v.plan_type))
-  GROUP BY rid) o ON l.rid = o.rid""".replace(
-        "(SELECT *, row_number() OVER () AS rid FROM ledger)", "numbered"
-    ),
+    """SELECT * REPLACE (CASE WHEN due_on IS NULL THEN due_date
+  WHEN amount_paid <> 0 AND due_date < due_on THEN due_on
+  WHEN amount_due <> 0 THEN due_on ELSE due_date END AS due_date)
+FROM (SELECT l.*, list_filter(rules, lambda r: coalesce(contains(category_name, r.plan_type), false)
+    OR coalesce(contains(discount_refund_applied_to, r.plan_type), false))[1].due_on AS due_on
+  FROM ledger l LEFT JOIN (SELECT school_year, list({'plan_type': plan_type, 'due_on': due_on} ORDER BY position) AS rules
+    FROM overrides GROUP BY school_year) USING (school_year))""",
 )
 def _(spark, sf):
     return clean.due_date_override(ledger(spark, sf), _overrides(spark, sf))
 
 
-part("numbered", """SELECT *, row_number() OVER (ORDER BY entry_number, entry_date, category_name,
-  discount_refund_applied_to, amount_due, amount_paid) AS rid FROM ledger""")
-
 
 @query("pseudonymize", f"alias_length:i;clean_text:i;rows:i;ids:i", None)
 def _(spark, sf):
