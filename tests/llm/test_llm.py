@@ -132,7 +132,14 @@ def test_mixing_is_inverse_poisson(odd):
 def test_mixing_weights_and_clashes(odd, none):
     assert {r.source for r in mixing.mix(odd, {"a": 1.0}).collect()} <= {"a"}
     mixed = mixing.mix(odd)
-    assert mixed.columns == [c for c in odd.columns if c != "copy"] + ["copy", "position"]
+    # A column of that name is kept as it is; the new one has a name of its own.
+    assert mixed.columns == [*odd.columns, "copy_1", "position"]
+    assert {r["copy"] for r in mixed.collect()} == {9}
+    helpers = odd.selectExpr("*", "doc_id AS position", "1 AS n", "2 AS u", "'x' AS __n", "3 AS row", "4 AS of", "5 AS place", "6 AS number")
+    again = mixing.mix(helpers)
+    assert again.columns == [*helpers.columns, "copy_1", "position_1"]
+    assert all(r["position"] == r["doc_id"] and (r["n"], r["u"], r["__n"], r["place"]) == (1, 2, "x", 5) for r in again.collect())
+    assert Counter((r.doc_id, r.text, r.copy_1) for r in again.collect()) == Counter((r.doc_id, r.text, r.copy_1) for r in mixed.collect())
     assert mixing.mix(none).count() == 0
 
 
@@ -448,3 +455,10 @@ def test_pipeline_stages(spark, real):
             assert sets[-1] == {d for d, _, c in brute if d == c}
     assert all(later <= earlier for earlier, later in zip(sets, sets[1:])) and sets[-1]
     assert corpus_pipeline.run(spark, SF).count() == docs.count()
+
+
+def test_commonest_words_are_cut_by_count(spark):
+    counts = spark.createDataFrame([(bytes([k]), n) for k, n in enumerate([9, 7, 7, 5, 5, 5, 1])], "word binary, n long").repartition(3)
+    for most, kept in ((0, []), (1, [9]), (2, [9]), (3, [9, 7, 7]), (5, [9, 7, 7]), (6, [9, 7, 7, 5, 5, 5]), (7, [9, 7, 7, 5, 5, 5, 1])):
+        assert sorted((r["n"] for r in class_lm.commonest(counts, most)), reverse=True) == kept
+    assert class_lm.commonest(counts.limit(0), 5) == []
