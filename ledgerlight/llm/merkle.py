@@ -180,7 +180,8 @@ def manifest(
         leaf([F.col(c) for c in fields]).alias("leaf"),
         leaf([other[c] for c in fields]).alias("other"),
     )
-    ordered = numbered(rows, ["group", "id", "leaf"])
+    # Written before they are sorted: finding the ranges must not read the texts a second time.
+    ordered = numbered(settle(rows), ["group", "id", "leaf"])
     groups = settle(ordered.groupBy("group").agg(F.min("row").alias("tree"), F.count("*").alias("n")))
     # Number of groups and the greatest of them.
     n_groups, highest = groups.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(1))).first()
