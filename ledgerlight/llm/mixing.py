@@ -11,11 +11,14 @@ to the power ``temper``, which lifts small sources. Sources that ``weights``
 doesn't name get weight 0 and vanish; a missing source is a source of its own
 (named ``None`` in ``weights``). Null texts count as empty; a source of empty
 texts only is repeated at rate 1. A missing id hashes like the empty text;
-repeated rows get equal numbers of copies.
+repeated rows get equal numbers of copies. All columns of the input stay as they
+are, whatever their names; where one is called ``copy`` or ``position`` already,
+the new column is ``copy_1`` or ``position_1``. An empty table stays empty.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator, Mapping
 
@@ -103,19 +106,25 @@ def mix(
         "__source", poisson_steps("rate").alias("__steps")
     )
     known = settle(steps)
-    u = uniform(hashed(seed, F.col(id_col)))
+    # The row travels as one struct, so that no name of its columns meets a helper's.
+    packed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col(source_col).cast("string").alias("of"),
+        uniform(hashed(seed, F.col(id_col))).alias("u"),
+    )
     repeated = (
-        docs.join(known, docs[source_col].cast("string").eqNullSafe(known["__source"]))
-        .withColumn("__u", u)
-        .withColumn("__n", F.expr("size(filter(__steps, c -> c <= __u))"))
-        .drop("__steps", "__u", "__source")
-        .filter("__n > 0")
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-        .drop("__n")
+        packed.join(known, F.col("of").eqNullSafe(F.col("__source")))
+        .withColumn("n", F.expr("size(filter(__steps, c -> c <= u))"))
+        .filter("n > 0")
+        .select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("number"))
     )
-    columns = [f"`{c}`" for c in docs.columns if c not in ("copy", "position")]
-    return repeated.select(
-        *columns,
-        F.col("__copy").alias("copy"),
-        hashed(seed + 1, F.col(id_col), F.col("__copy")).alias("position"),
-    ).orderBy("position")
+    position = hashed(seed + 1, F.col(f"row.`{id_col}`"), F.col("number"))
+    added = {free_name("copy", docs.columns): F.col("number"), free_name("position", docs.columns): position}
+    return repeated.withColumn("place", position).orderBy("place").select("row.*", *[v.alias(n) for n, v in added.items()])
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, or with the least number after it that no column has."""
+    numbered = itertools.chain([name], (f"{name}_{k}" for k in itertools.count(1)))
+    lower = {c.lower() for c in taken}
+    return next(n for n in numbered if n.lower() not in lower)
