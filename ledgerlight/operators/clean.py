@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -144,36 +145,59 @@ def account_normalize(ledger: DataFrame, column: str = "account_name") -> DataFr
     return ledger.withColumn(column, F.coalesce(known, col, F.lit("Not Applicable")))
 
 
-def _alias(identifier: Column, secret: str, attempt: Column) -> Column:
-    """Eight characters 0-9, A-Z from a keyed digest."""
-    digest = F.sha2(F.concat_ws("|", F.lit(secret), identifier, attempt.cast("string")), 256)
-    number = F.conv(F.substring(digest, 1, 12), 16, 10).cast("decimal(20,0)")
-    space = F.lit(36**8).cast("decimal(20,0)")
-    return F.lpad(F.conv((number % space).cast("string"), 10, 36), 8, "0")
+ALIAS_LENGTH = 8
 
 
-def pseudonym_table(
-    ids: DataFrame, known: DataFrame | None, secret: str, max_attempts: int = 20
-) -> DataFrame:
-    """(original_id, alias): known pairs kept, unseen ids added, aliases unique.
+def _alias(identifier: Column, secret: str, length: int) -> Column:
+    """The first ``length`` characters 0-9, A-Z of an endless text that a keyed digest gives an id."""
+    pieces = []
+    for turn in range(-(-length // 32)):
+        digest = F.sha2(F.concat_ws("|", F.lit(secret), identifier, F.lit(str(turn))), 256)
+        for at in (1, 13, 25, 37):
+            number = F.conv(F.substring(digest, at, 12), 16, 10).cast("decimal(20,0)")
+            space = F.lit(36**8).cast("decimal(20,0)")
+            pieces.append(F.lpad(F.conv((number % space).cast("string"), 10, 36), 8, "0"))
+    return F.substring(F.concat(*pieces), 1, length)
 
-    An alias taken already, or wanted by two new ids, is drawn again for all
-    but the first of them; the rounds end when no clash is left.
+
+def new_pseudonyms(ids: DataFrame, known: DataFrame | None, secret: str, length: int = ALIAS_LENGTH) -> DataFrame:
+    """(original_id, alias) of the ids that ``known`` lacks; only they are written.
+
+    Of ids that want one alias the least gets it, unless it is taken; the others
+    try one character more, which ends as soon as their digests differ. What is
+    tried depends on the ids alone, so a lost task comes to the same aliases.
     """
-    pairs = ids.filter("original_id is not null").select("original_id").distinct()
-    if known is None:
-        known = pairs.limit(0).withColumn("alias", F.lit("").cast("string"))
-    unseen = pairs.join(known, "original_id", "left_anti")
-    taken = known.select("original_id", "alias")
-    for attempt in range(max_attempts):
-        drawn = unseen.withColumn("alias", _alias(F.col("original_id"), secret, F.lit(attempt)))
+    pairs = ids.filter("original_id is not null").select(F.col("original_id").cast("string").alias("original_id")).distinct()
+    unseen = pairs if known is None else pairs.join(known.select("original_id"), "original_id", "left_anti")
+    unseen, given = settle(unseen), None
+    while not unseen.isEmpty():
+        drawn = unseen.withColumn("alias", _alias(F.col("original_id"), secret, length))
         winners = drawn.groupBy("alias").agg(F.min("original_id").alias("original_id"))
-        accepted = winners.join(taken, "alias", "left_anti").select("original_id", "alias")
-        taken = settle(taken.unionByName(accepted))
-        unseen = settle(unseen.join(taken, "original_id", "left_anti"))
-        if unseen.isEmpty():
-            return taken
-    raise ValueError("aliases still clash; use a longer alias")
+        free = winners if known is None else winners.join(known.select("alias"), "alias", "left_anti")
+        won = settle(free.select("original_id", "alias"))
+        given = won if given is None else given.unionByName(won)
+        unseen = settle(unseen.join(won.select("original_id"), "original_id", "left_anti"))
+        length += 1
+    return unseen.withColumn("alias", F.lit("")) if given is None else given
+
+
+def pseudonym_table(ids: DataFrame, known: DataFrame | None, secret: str, length: int = ALIAS_LENGTH) -> DataFrame:
+    """(original_id, alias): known pairs kept, unseen ids added, aliases unique."""
+    new = new_pseudonyms(ids, known, secret, length)
+    return new if known is None else known.select("original_id", "alias").unionByName(new)
+
+
+def extend_pseudonyms(ids: DataFrame, path: str, secret: str, length: int = ALIAS_LENGTH) -> DataFrame:
+    """Append the ids that the dictionary at ``path`` lacks, and return it. One run at a time may append."""
+    spark, layout = ids.sparkSession, "original_id string, alias string"
+    try:
+        known = spark.read.schema(layout).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        known = None
+    new_pseudonyms(ids, known, secret, length).write.mode("append").parquet(path)
+    return spark.read.schema(layout).parquet(path)
 
 
 def pseudonymize(ledger: DataFrame, aliases: DataFrame, column: str = STUDENT) -> DataFrame:

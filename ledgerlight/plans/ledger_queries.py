@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ledgerlight.names import AGING, CATEGORY, KEY, STUDENT, YEAR
 from ledgerlight.operators import clean, invoices as inv
 from ledgerlight.plans.inputs import K, ledger
 from ledgerlight.plans.registry import part, query
-from ledgerlight.session import settle
+from ledgerlight.session import settle, shared_folder
 from ledgerlight.sources.tables import column_prune, ledger_scan, ledger_view, table
 
 KEYS = "school_year:i;student_id_pseudonimized:s;category_name:s"
@@ -163,8 +165,12 @@ def _(spark, sf):
     return clean.due_date_override(ledger(spark, sf), _overrides(spark, sf))
 
 
-
-@query("pseudonymize", f"alias_length:i;clean_text:i;rows:i;ids:i", None)
+@query(
+    "pseudonymize",
+    "alias_length:i;clean_text:i;known:i;rows:i;ids:i",
+    """SELECT 8 AS alias_length, 1 AS clean_text, CASE WHEN CAST(student_id_pseudonimized AS BIGINT) % 10 = 0 THEN 1 ELSE 0 END AS known,
+  count(*) AS rows, count(DISTINCT student_id_pseudonimized) AS ids FROM ledger WHERE student_id_pseudonimized IS NOT NULL GROUP BY ALL""",
+)
 def _(spark, sf):
     base = ledger(spark, sf)
     ids = base.select(F.col(STUDENT).alias("original_id"))
@@ -173,11 +179,15 @@ def _(spark, sf):
         .filter(F.col("original_id").cast("bigint") % 10 == 0)
         .withColumn("alias", F.concat(F.lit("K"), F.lpad("original_id", 7, "0")))
     )
-    aliases = clean.pseudonym_table(ids, known, secret="example")
-    shown = clean.pseudonymize(base, aliases)
+    path = f"{shared_folder(spark)}/{uuid.uuid4()}"
+    known.write.parquet(path)
+    # Two runs over ids that overlap; the second adds what the first lacks.
+    clean.extend_pseudonyms(ids.filter(F.col("original_id").cast("bigint") % 3 > 0), path, secret="example")
+    shown = clean.pseudonymize(base.filter(F.col(STUDENT).isNotNull()), clean.extend_pseudonyms(ids, path, secret="example"))
     return shown.groupBy(
         F.length(STUDENT).alias("alias_length"),
         F.col(STUDENT).rlike("^[0-9A-Z]{8}$").cast("int").alias("clean_text"),
+        F.col(STUDENT).rlike("^K[0-9]{6}0$").cast("int").alias("known"),
     ).agg(F.count("*").alias("rows"), F.count_distinct(STUDENT).alias("ids"))
 
 

@@ -5,6 +5,7 @@ import random
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlight.names import CATEGORY, KEY, STUDENT, YEAR
 from ledgerlight.operators import clean, features as feat, invoices as inv
@@ -288,3 +289,20 @@ def test_aliases_are_unique_and_stable(spark):
     one = {r[0]: r[1] for r in clean.pseudonym_table(ids, known, "s").collect()}
     two = {r[0]: r[1] for r in clean.pseudonym_table(ids, known, "s").collect()}
     assert one == two and one["7"] == "KNOWN007" and len(set(one.values())) == len(one) == 200
+
+
+def test_alias_dictionary_only_grows(spark, tmp_path):
+    def ids(low, high):
+        return spark.createDataFrame([(str(k),) for k in range(low, high)] * 2 + [(None,)], "original_id string")
+
+    path = str(tmp_path / "aliases")
+    # One character is far too short, so most ids have to try longer ones.
+    first = {r[0]: r[1] for r in clean.extend_pseudonyms(ids(0, 120), path, "s", length=1).collect()}
+    assert len(first) == 120 == len(set(first.values())) and max(map(len, first.values())) > 1
+    rows = clean.extend_pseudonyms(ids(100, 300), path, "s", length=1).collect()
+    second = {r[0]: r[1] for r in rows}
+    assert len(rows) == 300 == len(set(second.values())) and second.items() >= first.items()
+    assert clean.extend_pseudonyms(ids(0, 300), path, "s", length=1).count() == 300
+    assert clean.new_pseudonyms(ids(0, 0), None, "s").count() == 0
+    long = ids(0, 1).filter("original_id is not null").select(clean._alias(F.col("original_id"), "s", 70).alias("a")).head()["a"]
+    assert len(long) == 70 and long.startswith(second["0"])
