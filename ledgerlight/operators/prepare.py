@@ -31,9 +31,9 @@ def decode_label(df: DataFrame, column: str = "prediction", out: str = "bracket"
 
 
 def _text_piece(column: str) -> Column:
-    """Order-preserving piece of a text: its first two characters."""
+    """Order-preserving piece of a text: its first two characters; a missing text comes last."""
     first, second = F.ascii(F.substring(column, 1, 1)), F.ascii(F.substring(column, 2, 1))
-    return (first.cast("long") * 1_114_112 + second).cast("long")
+    return F.coalesce((first.cast("long") * 1_114_112 + second).cast("long"), F.lit(1 << 42))
 
 
 def time_split(

@@ -72,6 +72,23 @@ def test_time_split_is_exact(spark):
     assert max(r["s"] for r in train.collect()) < min(r["s"] for r in test.collect())
 
 
+def test_time_split_puts_missing_texts_last(spark):
+    frame = spark.createDataFrame([(t,) for t in ["b", None, "", "a", None, "Ωx"]], "s string").withColumn("due_date", F.lit("2020-01-01").cast("date"))
+    train, test = prep.time_split(frame, ["s"], test_size=0.34)
+    assert sorted(r["s"] for r in train.collect()) == ["", "a", "b"]
+    assert sorted((r["s"] or "-") for r in test.collect()) == ["-", "-", "Ωx"]
+
+
+def test_tail_of_t():
+    from ledgerlight.operators.explore import _tail_of_t
+
+    assert _tail_of_t(1, 1) == pytest.approx(0.5) and _tail_of_t(2, 10) == _tail_of_t(-2, 10) == pytest.approx(0.0733880347707)
+    assert _tail_of_t(0, 5) == 1 and math.isnan(_tail_of_t(1, 0)) and _tail_of_t(30, 5) == pytest.approx(7.71864862e-07)
+    for dof in (1e7, 1e9, 1e13):
+        for t in (0.01, 1.96, 5.0):
+            assert _tail_of_t(t, dof) == pytest.approx(math.erfc(t / math.sqrt(2)), rel=1e-4)
+
+
 def test_kaplan_meier_with_everyone_dead(spark):
     data = [(1, 1), (2, 0), (2, 1), (3, 1), (5, 1)]
     frame = spark.createDataFrame([(float(t), e) for t, e in data], "T double, E int")
