@@ -109,6 +109,39 @@ def passing(df: DataFrame, key: Column, filter_: DataFrame, out: str, bits: int
     )
 
 
+#: Beyond so many keys a filter of ``BITS`` bits lets too much through to be worth its broadcast.
+MOST_KEYS = BITS // 4
+
+
+def matching(df: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """Rows of ``df`` whose long column ``name`` is among ``keys``, a written table of distinct values.
+
+    A bit filter as large as the counted keys need, 16 MB at most, spares most
+    other rows the shuffle; with more than ``MOST_KEYS`` keys the shuffled join works alone.
+    """
+    number = keys.count()
+    if number <= MOST_KEYS:
+        bits = min(BITS, max(1 << 20, 1 << (16 * number).bit_length()))
+        byte = "CAST(conv(hex(substring(__bits, i, 1)), 16, 10) AS INT)"
+        # Bytes are spelled out once in the filter, not once for every row that asks.
+        filter_ = key_filter(keys, F.xxhash64(name), bits).select(
+            "__bucket",
+            F.expr(
+                f"transform(sequence(1, length(__bits)), i -> CAST(({byte} + 128) % 256 - 128 AS TINYINT))"
+            ).alias("__bytes"),
+        )
+        place = F.pmod(F.xxhash64(name), F.lit(bits))
+        names = [f"`{c}`" for c in df.columns]
+        hit = F.expr("bit_get(__bytes[CAST(__bit DIV 8 AS INT)], CAST(__bit % 8 AS INT)) = 1")
+        df = (
+            df.withColumns({"__bucket": F.bitmap_bucket_number(place), "__bit": F.bitmap_bit_position(place)})
+            .join(F.broadcast(filter_), "__bucket")
+            .filter(hit)
+            .select(*names)
+        )
+    return df.join(keys, name, "left_semi")
+
+
 # ---- words and shingles ------------------------------------------------------------------
 
 

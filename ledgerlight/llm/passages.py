@@ -5,217 +5,386 @@ A paragraph here is the ``WINDOW`` words from each sentence start on (after
 in a longer sentence, so a passage is found wherever it was pasted, in the
 middle of a line too. A passage is found from its first sentence start on. Its set is its runs of five words.
 
-1. Two minima to a band, three bands: a paragraph of similarity 0.75 meets its
-   likeness with probability 0.92, an equal one always, and a passage of fifty
-   words holds several paragraphs.
+1. Two minima to a band, five bands: paragraphs that differ in one place, as
+   similar as 14 runs of 18, meet with probability 0.99, equal ones always.
 2. Paragraphs with equal words form a class. Colliding classes are paired with
-   leaders of their bucket, never with each other, and verified by exact
-   Jaccard similarity.
-3. Components of classes that occur in two documents or more are the removals:
+   leaders of their bucket and verified by exact Jaccard similarity.
+3. Classes of buckets that hold several components by then are joined exactly:
+   similar sets must share one of their rarest runs, so classes meet at those
+   runs alone, and only links come out. A run that many classes share counts
+   for a class that has nothing rarer to show.
+4. Components of classes that occur in two documents or more are the removals:
    the document with the least id keeps its passage, the others lose theirs.
    Overlapping paragraphs of one document become one span.
 
-Texts are read twice and never shuffled; a bit filter of fixed size picks the
-paragraphs that go on. Null texts count as empty. Texts of fewer than
-``WINDOW`` words have no paragraph. A passage repeated inside one document
-only is left alone. Rows that repeat an id count as one document. Rows without
-id are left out, as no report could name them.
+Texts are cut into words by array operations over a batch's bytes, which costs
+less than keeping the sketches of all of them, so they are read once for each
+of the four steps above that asks for them and never shuffled. Null texts count
+as empty. Texts of fewer than ``WINDOW`` words have no paragraph. A text of any
+length is cut whole; arrays of some 30 bytes a byte of text are what it takes. A
+passage repeated inside one document only is left alone. Rows that repeat an id
+count as one document. Rows without id are left out, as no report could name
+them. An empty table has no spans. Columns but id and text are not looked at, so
+their names can't clash.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import documents, key_filter, mixed, passing, word_codes
+from ledgerlight.llm.common import documents, matching, mixed
 from ledgerlight.llm.components import components
 from ledgerlight.session import settle
 
 WORDS, WINDOW = 5, 20
+WIDTH = WINDOW - WORDS + 1
 PERCENT = 75
-BANDS, ROWS = 3, 2
+BANDS, ROWS = 5, 2
+#: Bytes of text that are cut at a time, unless one text is longer.
+SLICE = 1 << 19
+#: Classes that share a run are compared in blocks of so many.
+BLOCK = 256
 
 _SEEDS = mixed(np.arange(101, 101 + BANDS * ROWS, dtype=np.uint64))
 _FACTORS = mixed(_SEEDS) | np.uint64(1)
 _PLACES = mixed(np.arange(1, WINDOW + 1, dtype=np.uint64)) | np.uint64(1)
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_END = re.compile(r"[.!?][\"')\]”’»]*\Z")
 
 
-def paragraphs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of five words at each place, place of each paragraph, its content code, offsets of all words.
+def _is(chars: bytes) -> np.ndarray:
+    """Which of the 256 bytes are among ``chars``."""
+    table = np.zeros(256, bool)
+    table[list(chars)] = True
+    return table
 
-    Offsets are (start, end) in code points.
-    """
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)
-    found = list(_WORD.finditer(text))
-    if len(found) < WINDOW:
-        return none
-    spans = np.array([m.span() for m in found], np.int64)
-    words = [m.group() for m in found]
-    codes = word_codes([w.encode("utf-8", "surrogatepass").lower() for w in words])
-    ends = np.fromiter((w[-1] in ".!?\"')]”’»" and _END.search(w) is not None for w in words), bool, len(words))
+
+_BLANK, _STOP, _CLOSER = _is(b" \t\n\x0b\x0c\r"), _is(b".!?"), _is(b"\"')]")
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+#: Codes of a byte at the first places of a word; further ones are computed.
+_BYTES = mixed(np.arange(32 * 256, dtype=np.uint64))
+
+
+class Paragraphs(NamedTuple):
+    """Paragraphs of several texts: their text's number, place in words, place in code points,
+    content code, and runs of five words (one row each)."""
+
+    text: np.ndarray
+    at: np.ndarray
+    start: np.ndarray
+    stop: np.ndarray
+    content: np.ndarray
+    runs: np.ndarray
+
+
+def _word_codes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """64-bit codes of words, A-Z lower-cased, a bounded number of bytes at a time."""
+    codes = np.zeros(len(starts), np.uint64)
+    lengths = stops - starts
+    total = np.cumsum(lengths)
+    at = 0
+    while at < len(starts):
+        done = total[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(total, done + SLICE, "right")))
+        own = lengths[at:to]
+        first = np.cumsum(own) - own
+        place = np.arange(own.sum()) - np.repeat(first, own)
+        index = place * 256 + _LOWER[data[np.repeat(starts[at:to], own) + place]]
+        values = _BYTES[np.minimum(index, len(_BYTES) - 1)]
+        late = index >= len(_BYTES)
+        if late.any():
+            values[late] = mixed(index[late].astype(np.uint64))
+        codes[at:to] = mixed(np.add.reduceat(values, first))
+        at = to
+    return codes
+
+
+def _sentence_ends(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Words that end in a full stop or the like, with closing quotes and brackets behind it or not."""
+    closer = _CLOSER[data]
+    three = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x80) & ((data[2:] == 0x9D) | (data[2:] == 0x99)))
+    two = np.flatnonzero((data[:-1] == 0xC2) & (data[1:] == 0xBB))
+    for k in range(3):
+        closer[three + k] = True
+    for k in range(2):
+        closer[two + k] = True
+    last = np.maximum.accumulate(np.where(closer, -1, np.arange(len(data), dtype=np.int32)))[stops - 1]
+    return (last >= starts) & _STOP[data[last]]
+
+
+def paragraphs(texts: pa.StringArray) -> Paragraphs:
+    """The paragraphs of texts, cut all at once."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    held = texts.buffers()[2]
+    data = np.frombuffer(held, np.uint8)[offsets[0] : offsets[-1]] if held else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    none = np.zeros(0, np.int64)
+    nothing = Paragraphs(none, none, none, none, none.view(np.uint64), np.zeros((0, WIDTH), np.uint64))
+    if not len(data):
+        return nothing
+    inside = ~_BLANK[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[offsets] = True
+    before = np.concatenate([[True], ~inside[:-1]]) | cut[:-1]
+    behind = np.concatenate([~inside[1:], [True]]) | cut[1:]
+    starts, stops = np.flatnonzero(inside & before), np.flatnonzero(inside & behind) + 1
+    if len(starts) < WINDOW:
+        return nothing
+    text = np.searchsorted(offsets, starts, "right") - 1
+    new_text = np.concatenate([[True], text[1:] != text[:-1]])
+    lines = np.cumsum(data == 10, dtype=np.int32)
     # A line end between two words ends a sentence too.
-    lines = np.array([m.start() for m in re.finditer("\n", text)], np.int64)
-    breaks = np.searchsorted(lines, spans[1:, 0]) > np.searchsorted(lines, spans[:-1, 1])
-    starts = np.flatnonzero(np.concatenate([[True], ends[:-1] | breaks]))
+    opens = new_text.copy()
+    opens[1:] |= _sentence_ends(data, starts, stops)[:-1] | (lines[starts[1:]] > lines[stops[:-1] - 1])
+    first = np.flatnonzero(opens)
     # A sentence is cut into as many windows as it takes to cover it.
-    steps = -(-np.diff(np.append(starts, len(words))) // WINDOW)
+    steps = -(-np.diff(np.append(first, len(starts))) // WINDOW)
     step = np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps)
-    starts = np.repeat(starts, steps) + WINDOW * step
-    starts = starts[starts <= len(words) - WINDOW]
-    if not len(starts):
-        return none
-    runs = np.zeros(len(words) - WORDS + 1, np.uint64)
+    first = np.repeat(first, steps) + WINDOW * step
+    first = first[first <= len(starts) - WINDOW]
+    first = first[text[first] == text[first + WINDOW - 1]]
+    if not len(first):
+        return nothing
+    codes = _word_codes(data, starts, stops)
+    runs = np.zeros(len(codes) - WORDS + 1, np.uint64)
     for k in range(WORDS):
         runs += mixed(codes[k : k + len(runs)] ^ _PLACES[k]) * _PLACES[k]
     runs = mixed(runs)
-    content = (sliding_window_view(codes, WINDOW)[starts] * _PLACES).sum(axis=1, dtype=np.uint64)
-    return runs, starts, mixed(content), spans
+    content = mixed((sliding_window_view(codes, WINDOW)[first] * _PLACES).sum(axis=1, dtype=np.uint64))
+    points = np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)
+    own = text[first]
+    opening = np.flatnonzero(new_text)
+    head = opening[np.searchsorted(opening, first, "right") - 1]
+    base = np.where(offsets[own] > 0, points[np.maximum(offsets[own], 1) - 1], 0)
+    return Paragraphs(
+        own,
+        first - head,
+        (points[starts[first]] - 1 - base).astype(np.int64),
+        (points[stops[first + WINDOW - 1] - 1] - base).astype(np.int64),
+        content,
+        sliding_window_view(runs, WIDTH)[first],
+    )
 
 
-def band_keys(runs: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def band_keys(runs: np.ndarray) -> np.ndarray:
     """One key for each paragraph (row) and band (column)."""
-    width = WINDOW - WORDS + 1
-    keys = np.zeros((len(starts), BANDS), np.uint64)
+    keys = np.zeros((len(runs), BANDS), np.uint64)
     for band in range(BANDS):
         for k in range(band * ROWS, (band + 1) * ROWS):
-            hashed = (runs ^ _SEEDS[k]) * _FACTORS[k]
-            least = sliding_window_view(hashed, width)[starts].min(axis=1)
-            keys[:, band] = mixed(keys[:, band] + least)
+            keys[:, band] = mixed(keys[:, band] + ((runs ^ _SEEDS[k]) * _FACTORS[k]).min(axis=1))
         keys[:, band] = mixed(keys[:, band] ^ np.uint64(band))
     return keys
 
 
 def _longs(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _joined(parts: list[np.ndarray], kind: type) -> np.ndarray:
-    return np.concatenate(parts) if parts else np.zeros(0, kind)
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Paragraphs]]:
+    """Id of each paragraph's document, and paragraphs, for slices of (doc_id, text) of some bytes each."""
+    for batch in batches:
+        texts = batch.column(1)
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        ids = batch.column(0).to_numpy()
+        at = 0
+        while at < len(texts):
+            done = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + SLICE, "right")))
+            found = paragraphs(texts.slice(at, to - at))
+            yield ids[at:to][found.text], found
+            at = to
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, content, doc_id): each paragraph once per band."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            part = batch.slice(at, 1024)
-            keys, contents, ids = [], [], []
-            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1)):
-                runs, starts, content, _ = paragraphs(text.as_py())
-                content, first = np.unique(content, return_index=True)
-                if len(content):
-                    keys.append(band_keys(runs, starts[first]).T.ravel())
-                    contents.append(np.tile(content, BANDS))
-                    ids.append(np.full(len(content) * BANDS, doc_id, np.int64))
-            yield pa.record_batch(
-                [
-                    _longs(_joined(keys, np.uint64)),
-                    _longs(_joined(contents, np.uint64)),
-                    pa.array(_joined(ids, np.int64)),
-                ],
-                ["key", "content", "doc_id"],
-            )
+def _banded(other: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (key, ``other``): each paragraph once per band, with its document or its content."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, found in _cut(batches):
+            beside = ids if other == "doc_id" else found.content
+            keys = band_keys(found.runs).T.ravel()
+            yield pa.record_batch([_longs(keys), _longs(np.tile(beside, BANDS))], ["key", other])
+
+    return rows
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (content, runs): each paragraph's set."""
+    for _, found in _cut(batches):
+        content, one = np.unique(found.content, return_index=True)
+        flat = found.runs[one].ravel()
+        sets = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, WIDTH, np.int32)), _longs(flat))
+        yield pa.record_batch([_longs(content), sets], ["content", "runs"])
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (content, doc_id, at, start, stop, runs): every paragraph with its place and set."""
-    width = WINDOW - WORDS + 1
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            cols: list[list[np.ndarray]] = [[] for _ in range(6)]
-            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1)):
-                runs, starts, content, spans = paragraphs(text.as_py())
-                if not len(starts):
-                    continue
-                values = (
-                    content.view(np.int64),
-                    np.full(len(starts), doc_id, np.int64),
-                    starts,
-                    spans[starts, 0],
-                    spans[starts + WINDOW - 1, 1],
-                    sliding_window_view(runs, width)[starts].ravel().view(np.int64),
-                )
-                for own, value in zip(cols, values):
-                    own.append(value)
-            flat = [_joined(x, np.int64) for x in cols]
-            sets = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat[5]) + 1, width, np.int32)), pa.array(flat[5]))
-            yield pa.record_batch(
-                [*[pa.array(x) for x in flat[:5]], sets], ["content", "doc_id", "at", "start", "stop", "runs"]
-            )
+    """Rows (content, doc_id, at, start, stop): every paragraph with its place."""
+    for ids, found in _cut(batches):
+        yield pa.record_batch(
+            [_longs(found.content), _longs(ids), _longs(found.at), _longs(found.start), _longs(found.stop)],
+            ["content", "doc_id", "at", "start", "stop"],
+        )
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per span: doc_id, start, stop (code points, stop excluded), n_words, first_doc_id, removed.
+def _ends(pairs: DataFrame) -> DataFrame:
+    return settle(pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct())
 
-    ``first_doc_id`` is the document that keeps the passage; its own span is
-    listed with ``removed`` false.
+
+def _sets(rows: DataFrame, contents: DataFrame) -> DataFrame:
+    """content and distinct runs of the given classes."""
+    found = matching(rows.mapInArrow(_runs, "content long, runs array<long>"), contents, "content")
+    return settle(found.groupBy("content").agg(F.array_distinct(F.first("runs")).alias("runs")))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs whose sets are as similar as asked."""
+    first = sets.select(F.col("content").alias("a"), F.col("runs").alias("sa"))
+    second = sets.select(F.col("content").alias("b"), F.col("runs").alias("sb"))
+    common = F.size(F.array_intersect("sa", "sb"))
+    return settle(
+        pairs.join(first, "a")
+        .join(second, "b")
+        .filter(common * 100 >= (F.size("sa") + F.size("sb") - common) * PERCENT)
+        .select("a", "b")
+    )
+
+
+def _block_links(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Links across components between two blocks of classes that share a run (or inside one).
+
+    One link for each two components that meet; what a link has joined isn't compared any more.
+    """
+    _, low, high = (x.as_py() for x in key)
+    content, block = table.column("content").to_numpy(), table.column("block").to_numpy()
+    label = table.column("label").to_numpy().copy()
+    runs = table.column("runs").to_pylist()
+    size = np.array([len(x) for x in runs])
+    sets = np.full((len(runs), WIDTH), -1, np.int64)
+    held = np.arange(WIDTH) < size[:, None]
+    sets[held] = np.concatenate(runs)
+    left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    out_a, out_b = [], []
+    for k, i in enumerate(left):
+        others = right[k + 1 :] if low == high else right
+        others = others[label[others] != label[i]]
+        common = (np.isin(sets[others], runs[i]) & held[others]).sum(axis=1)
+        linked = others[100 * common >= PERCENT * (size[i] + size[others] - common)]
+        met, one = np.unique(label[linked], return_index=True)
+        linked = linked[one]
+        label[np.isin(label, met)] = label[i]
+        out_a.append(np.maximum(content[linked], content[i]))
+        out_b.append(np.minimum(content[linked], content[i]))
+    return pa.table({"a": np.concatenate([*out_a, np.zeros(0, np.int64)]), "b": np.concatenate([*out_b, np.zeros(0, np.int64)])})
+
+
+def _through(members: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
+    """Links left between the classes of buckets that hold several components.
+
+    ``members`` has key and content. Of a set of s runs, t = ceil(0.75 s) at
+    least are shared with any similar one, so the two meet at one of their
+    s - t + 1 rarest runs. Runs of one class alone are the rarest and meet nobody.
+    """
+    labelled = settle(
+        members.join(found.withColumnRenamed("node", "content"), "content", "left").withColumn(
+            "label", F.coalesce("label", "content")
+        )
+    )
+    open_ = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("key")
+    left = settle(labelled.join(open_, "key", "left_semi").select("content", "label").distinct().join(sets, "content"))
+    spread = left.select("content", F.size("runs").alias("size"), F.explode("runs").alias("run"))
+    shared = settle(spread.groupBy("run").agg(F.count("*").alias("times")).filter("times > 1"))
+    rare = (
+        matching(spread, shared.select("run"), "run")
+        .join(shared, "run")
+        .groupBy("content")
+        .agg(F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("times", "run"))).alias("held"))
+        .withColumn("most", F.expr(f"size(held) - CAST(ceil({PERCENT} * size / 100.0D) AS INT) + 1"))
+        .filter("most > 0")
+        .select("content", F.explode(F.expr("slice(held, 1, most)")).alias("one"))
+        .select("content", F.col("one.run").alias("run"))
+    )
+    meeting = settle(rare.join(left.select("content", "label"), "content"))
+    several = settle(
+        meeting.groupBy("run")
+        .agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size"))
+        .filter("x != y")
+        .select("run", F.expr(f"CAST(ceil(size / {BLOCK}.0D) AS INT)").alias("blocks"))
+    )
+    dealt = (
+        meeting.join(several, "run")
+        .join(left.select("content", "runs"), "content")
+        .withColumn("block", F.pmod(F.xxhash64("content"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(
+            "run",
+            F.least("block", "other").alias("low"),
+            F.greatest("block", "other").alias("high"),
+            "content",
+            "label",
+            "runs",
+            "block",
+        )
+    )
+    return settle(dealt.groupBy("run", "low", "high").applyInArrow(_block_links, "a long, b long").distinct())
+
+
+def links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes that collide across documents (content), and components of similar ones (node, label).
+
+    ``rows`` has doc_id and text.
     """
-    rows = documents(docs, id_col, text_col).filter("doc_id is not null")
     collided = settle(
-        rows.mapInArrow(_banded, "key long, content long, doc_id long")
+        rows.mapInArrow(_banded("doc_id"), "key long, doc_id long")
         .groupBy("key")
-        .agg(
-            F.min("content").alias("low"),
-            F.max("content").alias("high"),
-            F.min("doc_id").alias("first"),
-            F.max("doc_id").alias("last"),
-        )
+        .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
         .filter("first != last")
-        .select("key", "low", "high")
+        .select("key")
     )
-    # Only buckets that hold different contents need pairs; equal contents are a class.
-    mixed_up = collided.filter("low != high")
-    keys = key_filter(mixed_up.select("key"), F.xxhash64("key"))
-    banded = passing(
-        rows.mapInArrow(_banded, "key long, content long, doc_id long").select("key", "content"),
-        F.xxhash64("key"),
-        keys,
-        "__in",
+    members = settle(
+        matching(rows.mapInArrow(_banded("content"), "key long, content long"), collided, "key").distinct()
     )
+    buckets = settle(members.groupBy("key").agg(F.min("content").alias("low"), F.max("content").alias("high")))
+    # Only buckets that hold different contents need pairs; equal contents are a class.
+    several = settle(members.join(buckets.filter("low != high"), "key"))
     pairs = settle(
-        banded.filter("__in")
-        .distinct()
-        .join(mixed_up, "key")
-        .select("content", F.explode(F.array("low", "high")).alias("leader"))
+        several.select("content", F.explode(F.array("low", "high")).alias("leader"))
         .filter("content != leader")
         .select(F.greatest("content", "leader").alias("a"), F.least("content", "leader").alias("b"))
         .distinct()
     )
-    alike = collided.filter("low = high").select(F.col("low").alias("content"))
-    wanted = alike.unionByName(pairs.select(F.explode(F.array("a", "b")).alias("content"))).distinct()
-    chosen = settle(wanted)
-    found = passing(
-        rows.mapInArrow(_placed, "content long, doc_id long, at long, start long, stop long, runs array<long>"),
-        F.xxhash64("content"),
-        key_filter(chosen, F.xxhash64("content")),
-        "__in",
-    )
-    places = settle(found.filter("__in").drop("__in").join(chosen, "content", "left_semi"))
-    sets = places.groupBy("content").agg(F.first("runs").alias("runs"))
-    in_pairs = settle(
-        sets.join(pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct(), "content", "left_semi")
-    )
-    first = in_pairs.select(F.col("content").alias("a"), F.array_distinct("runs").alias("sa"))
-    second = in_pairs.select(F.col("content").alias("b"), F.array_distinct("runs").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    links = settle(
-        pairs.join(first, "a")
-        .join(second, "b")
-        .filter(common * 100 >= (F.size("sa") + F.size("sb") - common) * PERCENT)
-        .select("a", "b")
+    sets = _sets(rows, _ends(pairs))
+    linked = _verified(pairs, sets)
+    found = components(linked)
+    more = _through(several.select("key", "content"), sets, found)
+    if not more.isEmpty():
+        found = components(linked.unionByName(more))
+    alike = buckets.filter("low = high").select(F.col("low").alias("content"))
+    chosen = alike.unionByName(found.select(F.col("node").alias("content"))).unionByName(several.select("content"))
+    return settle(chosen.distinct()), found
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per span: doc_id, start, stop (code points, stop excluded), n_words, first_doc_id, removed.
+
+    ``first_doc_id`` is the document that keeps the passage; its own span is
+    listed with ``removed`` false.
+    """
+    rows = documents(docs, id_col, text_col).filter("doc_id is not null")
+    chosen, found = links(rows)
+    places = settle(
+        matching(
+            rows.mapInArrow(_placed, "content long, doc_id long, at long, start long, stop long"), chosen, "content"
+        )
     )
-    labels = components(links).withColumnRenamed("node", "content")
-    owned = places.drop("runs").join(labels, "content", "left").withColumn("label", F.coalesce("label", "content"))
-    owned = settle(owned)
-    groups = (
+    labels = found.withColumnRenamed("node", "content")
+    owned = settle(places.join(labels, "content", "left").withColumn("label", F.coalesce("label", "content")))
+    # Written before the join by label, so that a common passage's rows can be split.
+    groups = settle(
         owned.groupBy("label")
         .agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"))
         .filter("first_doc_id != last")
