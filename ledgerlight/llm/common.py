@@ -114,7 +114,7 @@ MOST_KEYS = BITS // 4
 
 
 def matching(df: DataFrame, keys: DataFrame, name: str) -> DataFrame:
-    """Rows of ``df`` whose long column ``name`` is among ``keys``, a written table of distinct values.
+    """Rows of ``df`` joined with ``keys``, a written table with distinct values of the long column ``name``.
 
     A bit filter as large as the counted keys need, 16 MB at most, spares most
     other rows the shuffle; with more than ``MOST_KEYS`` keys the shuffled join works alone.
@@ -139,7 +139,8 @@ def matching(df: DataFrame, keys: DataFrame, name: str) -> DataFrame:
             .filter(hit)
             .select(*names)
         )
-    return df.join(keys, name, "left_semi")
+    # An inner join stays behind the filter; a semi-join would be moved before it.
+    return df.join(keys, name)
 
 
 # ---- words and shingles ------------------------------------------------------------------

@@ -299,8 +299,7 @@ def _through(members: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame
     spread = left.select("content", F.size("runs").alias("size"), F.explode("runs").alias("run"))
     shared = settle(spread.groupBy("run").agg(F.count("*").alias("times")).filter("times > 1"))
     rare = (
-        matching(spread, shared.select("run"), "run")
-        .join(shared, "run")
+        matching(spread, shared, "run")
         .groupBy("content")
         .agg(F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("times", "run"))).alias("held"))
         .withColumn("most", F.expr(f"size(held) - CAST(ceil({PERCENT} * size / 100.0D) AS INT) + 1"))
