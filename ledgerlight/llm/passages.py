@@ -40,9 +40,8 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import documents, matching, mixed
+from ledgerlight.llm.common import documents, matching, mixed, settled
 from ledgerlight.llm.components import components
-from ledgerlight.session import settle
 
 WORDS, WINDOW = 5, 20
 WIDTH = WINDOW - WORDS + 1
@@ -232,13 +231,13 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
-    return settle(pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct())
+    return settled(pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct())
 
 
 def _sets(rows: DataFrame, contents: DataFrame) -> DataFrame:
     """content and distinct runs of the given classes."""
     found = matching(rows.mapInArrow(_runs, "content long, runs array<long>"), contents, "content")
-    return settle(found.groupBy("content").agg(F.array_distinct(F.first("runs")).alias("runs")))
+    return settled(found.groupBy("content").agg(F.array_distinct(F.first("runs")).alias("runs")))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -246,7 +245,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     first = sets.select(F.col("content").alias("a"), F.col("runs").alias("sa"))
     second = sets.select(F.col("content").alias("b"), F.col("runs").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
-    return settle(
+    return settled(
         pairs.join(first, "a")
         .join(second, "b")
         .filter(common * 100 >= (F.size("sa") + F.size("sb") - common) * PERCENT)
@@ -289,15 +288,15 @@ def _through(members: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame
     least are shared with any similar one, so the two meet at one of their
     s - t + 1 rarest runs. Runs of one class alone are the rarest and meet nobody.
     """
-    labelled = settle(
+    labelled = settled(
         members.join(found.withColumnRenamed("node", "content"), "content", "left").withColumn(
             "label", F.coalesce("label", "content")
         )
     )
     open_ = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("key")
-    left = settle(labelled.join(open_, "key", "left_semi").select("content", "label").distinct().join(sets, "content"))
+    left = settled(labelled.join(open_, "key", "left_semi").select("content", "label").distinct().join(sets, "content"))
     spread = left.select("content", F.size("runs").alias("size"), F.explode("runs").alias("run"))
-    shared = settle(spread.groupBy("run").agg(F.count("*").alias("times")).filter("times > 1"))
+    shared = settled(spread.groupBy("run").agg(F.count("*").alias("times")).filter("times > 1"))
     rare = (
         matching(spread, shared, "run")
         .groupBy("content")
@@ -307,8 +306,8 @@ def _through(members: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame
         .select("content", F.explode(F.expr("slice(held, 1, most)")).alias("one"))
         .select("content", F.col("one.run").alias("run"))
     )
-    meeting = settle(rare.join(left.select("content", "label"), "content"))
-    several = settle(
+    meeting = settled(rare.join(left.select("content", "label"), "content"))
+    several = settled(
         meeting.groupBy("run")
         .agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size"))
         .filter("x != y")
@@ -329,7 +328,7 @@ def _through(members: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame
             "block",
         )
     )
-    return settle(dealt.groupBy("run", "low", "high").applyInArrow(_block_links, "a long, b long").distinct())
+    return settled(dealt.groupBy("run", "low", "high").applyInArrow(_block_links, "a long, b long").distinct())
 
 
 def links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -337,20 +336,20 @@ def links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     ``rows`` has doc_id and text.
     """
-    collided = settle(
+    collided = settled(
         rows.mapInArrow(_banded("doc_id"), "key long, doc_id long")
         .groupBy("key")
         .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
         .filter("first != last")
         .select("key")
     )
-    members = settle(
+    members = settled(
         matching(rows.mapInArrow(_banded("content"), "key long, content long"), collided, "key").distinct()
     )
-    buckets = settle(members.groupBy("key").agg(F.min("content").alias("low"), F.max("content").alias("high")))
+    buckets = settled(members.groupBy("key").agg(F.min("content").alias("low"), F.max("content").alias("high")))
     # Only buckets that hold different contents need pairs; equal contents are a class.
-    several = settle(members.join(buckets.filter("low != high"), "key"))
-    pairs = settle(
+    several = settled(members.join(buckets.filter("low != high"), "key"))
+    pairs = settled(
         several.select("content", F.explode(F.array("low", "high")).alias("leader"))
         .filter("content != leader")
         .select(F.greatest("content", "leader").alias("a"), F.least("content", "leader").alias("b"))
@@ -364,7 +363,7 @@ def links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         found = components(linked.unionByName(more))
     alike = buckets.filter("low = high").select(F.col("low").alias("content"))
     chosen = alike.unionByName(found.select(F.col("node").alias("content"))).unionByName(several.select("content"))
-    return settle(chosen.distinct()), found
+    return settled(chosen.distinct()), found
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -375,15 +374,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     rows = documents(docs, id_col, text_col).filter("doc_id is not null")
     chosen, found = links(rows)
-    places = settle(
+    places = settled(
         matching(
             rows.mapInArrow(_placed, "content long, doc_id long, at long, start long, stop long"), chosen, "content"
         )
     )
     labels = found.withColumnRenamed("node", "content")
-    owned = settle(places.join(labels, "content", "left").withColumn("label", F.coalesce("label", "content")))
+    owned = settled(places.join(labels, "content", "left").withColumn("label", F.coalesce("label", "content")))
     # Written before the join by label, so that a common passage's rows can be split.
-    groups = settle(
+    groups = settled(
         owned.groupBy("label")
         .agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"))
         .filter("first_doc_id != last")
