@@ -5,8 +5,8 @@ A paragraph here is the ``WINDOW`` words from each sentence start on (after
 in a longer sentence, so a passage is found wherever it was pasted, in the
 middle of a line too. A passage is found from its first sentence start on. Its set is its runs of five words.
 
-1. Two minima to a band, five bands: paragraphs that differ in one place, as
-   similar as 14 runs of 18, meet with probability 0.99, equal ones always.
+1. Two minima to a band, five bands: paragraphs that share 14 of 18 runs (just
+   above the threshold) meet with probability 0.99, equal ones always.
 2. Paragraphs with equal words form a class. Colliding classes are paired with
    leaders of their bucket and verified by exact Jaccard similarity.
 3. Classes of buckets that hold several components by then are joined exactly:
@@ -18,11 +18,10 @@ middle of a line too. A passage is found from its first sentence start on. Its s
    Overlapping paragraphs of one document become one span.
 
 Texts are cut into words by array operations over a batch's bytes, which costs
-less than keeping the sketches of all of them, so they are read once for each
-of the four steps above that asks for them and never shuffled. Null texts count
+less than keeping the sketches of all of them, so they are read four times (keys
+by document, keys by content, sets, places) and never shuffled. Null texts count
 as empty. Texts of fewer than ``WINDOW`` words have no paragraph. A text of any
-length is cut whole; arrays of some 30 bytes a byte of text are what it takes. A
-passage repeated inside one document only is left alone. Rows that repeat an id
+length is cut whole, in arrays that grow with the longest text alone. A passage repeated inside one document only is left alone. Rows that repeat an id
 count as one document. Rows without id are left out, as no report could name
 them. An empty table has no spans. Columns but id and text are not looked at, so
 their names can't clash.
