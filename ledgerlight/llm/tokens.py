@@ -10,13 +10,16 @@ from __future__ import annotations
 
 import os
 import re
+import struct
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CACHE_ENTRIES = 200_000
+#: Of each of two generations.
+CACHE_ENTRIES = 150_000
 CACHED_CHARS = 40
 # A space beside other white space may belong to a longer token.
 _RUN = re.compile(r" \s|\s ")
@@ -39,6 +42,24 @@ def _shown_bytes() -> dict[int, str]:
 _SHOWN = _shown_bytes()
 
 
+class _Chunks(dict):
+    """Ids of chunks; two generations of bounded size, so common chunks outlive rare ones."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        self.learn, self.older = learn, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = self.learn(chunk)
+        if len(chunk) <= CACHED_CHARS:
+            if len(self) >= CACHE_ENTRIES:
+                self.older = dict(self)
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+
 class Encoder:
     """Ids as little-endian unsigned integers of ``width`` bytes, two if the vocabulary allows it.
 
@@ -60,7 +81,7 @@ class Encoder:
             raise ValueError(f"{path} is no byte-level vocabulary of a known kind")
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.added = [token.content for token in added]
-        self.cache: dict[str, bytes] = {}
+        self.cache = _Chunks(self.learn)
 
     def _packed(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -68,32 +89,24 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         """Ids of letters that the tokenizer takes as one piece, from its merges directly."""
-        spelled = (word if self.spaced else word.lower()).encode().decode("latin-1").translate(_SHOWN)
-        return np.array([x.id for x in self.tokenizer.model.tokenize(spelled)], self.kind).tobytes()
-
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of unknown chunks; words and the marks behind them are looked up apart."""
-        cache, new = self.cache, {}
-        others = []
-        for chunk in chunks:
-            m = _MARKED.fullmatch(chunk)
-            if not m:
-                others.append(chunk)
-                continue
-            word, marks = m.groups()
-            ids = new.get(word) or cache.get(word) or self._word(word)
-            new[word] = ids
-            if marks:
-                tail = new.get(marks) or cache.get(marks)
-                if tail is None:
-                    tail = new[marks] = self._packed([marks])[0]
-                new[chunk] = ids + tail
-        if others:
-            new.update(zip(others, self._packed(others)))
-        if len(cache) + len(new) > CACHE_ENTRIES:
-            self.cache = cache = {}
-        cache.update((k, v) for k, v in new.items() if len(k) <= CACHED_CHARS)
-        return new
+        if not self.spaced:
+            word = word.lower()
+        if word.isascii():
+            spelled = word.replace(" ", _SHOWN[32])
+        else:
+            spelled = word.encode().decode("latin-1").translate(_SHOWN)
+        return self.pack(*[x.id for x in self.tokenizer.model.tokenize(spelled)])
+
+    def pack(self, *ids: int) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+
+    def learn(self, chunk: str) -> bytes:
+        """Ids of an unknown chunk; a word and the marks behind it are looked up apart."""
+        m = _MARKED.fullmatch(chunk)
+        if m is None:
+            return self._packed([chunk])[0]
+        word, marks = m.groups()
+        return self.cache[word] + self.cache[marks] if marks else self._word(word)
 
     def encode(self, text: str) -> bytes:
         """The packed ids of a whole text; an empty text has none."""
@@ -114,13 +127,7 @@ class Encoder:
         return self._joined(chunks)
 
     def _joined(self, chunks: list[str]) -> bytes:
-        cache = self.cache
-        try:
-            return b"".join([cache[x] for x in chunks])
-        except KeyError:
-            pass
-        new = self._learn([x for x in dict.fromkeys(chunks) if x not in cache])
-        return b"".join([new[x] if x in new else cache[x] for x in chunks])
+        return b"".join(map(self.cache.__getitem__, chunks))
 
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self.encode(text), self.kind)
