@@ -43,6 +43,8 @@ from ledgerlight.llm.ordered import bounds, part_of
 from ledgerlight.llm.tokens import encoder
 from ledgerlight.session import settle
 
+#: Chunks that a worker remembers in each of two generations, 150 MB in all at most.
+CACHE_ENTRIES = 500_000
 # Fixed values of the record format.
 MASK_DELTA = 0xA282EAD8
 NO_ID = -(1 << 63)
@@ -88,7 +90,7 @@ class _Shard:
 
 
 def _written(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    coder, shard, done = encoder(path), None, []
+    coder, shard, done = encoder(path, CACHE_ENTRIES), None, []
     end = np.array([end_id], coder.kind).tobytes()
     store, place = _folder(folder)
     for batch in batches:

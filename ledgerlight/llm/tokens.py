@@ -18,7 +18,7 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Of each of two generations.
+#: Chunks in each of two generations; both take some 150 bytes a chunk.
 CACHE_ENTRIES = 150_000
 CACHED_CHARS = 40
 # A space beside other white space may belong to a longer token.
@@ -45,15 +45,15 @@ _SHOWN = _shown_bytes()
 class _Chunks(dict):
     """Ids of chunks; two generations of bounded size, so common chunks outlive rare ones."""
 
-    def __init__(self, learn: Callable[[str], bytes]):
-        self.learn, self.older = learn, {}
+    def __init__(self, learn: Callable[[str], bytes], entries: int):
+        self.learn, self.entries, self.older = learn, entries, {}
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.older.get(chunk)
         if ids is None:
             ids = self.learn(chunk)
         if len(chunk) <= CACHED_CHARS:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= self.entries:
                 self.older = dict(self)
                 self.clear()
             self[chunk] = ids
@@ -67,12 +67,15 @@ class Encoder:
     otherwise white space is dropped before words are looked up.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
+        letter = "H" if self.width == 2 else "I"
+        self.packs = [struct.Struct(f"<{n}{letter}").pack for n in range(32)]
+        self.tokenize = self.tokenizer.model.tokenize
         self.spaced = len(self.tokenizer.encode(" a  a", add_special_tokens=False).ids) != len(
             self.tokenizer.encode("a a", add_special_tokens=False).ids
         )
@@ -81,7 +84,7 @@ class Encoder:
             raise ValueError(f"{path} is no byte-level vocabulary of a known kind")
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.added = [token.content for token in added]
-        self.cache = _Chunks(self.learn)
+        self.cache = _Chunks(self.learn, entries)
 
     def _packed(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -95,18 +98,16 @@ class Encoder:
             spelled = word.replace(" ", _SHOWN[32])
         else:
             spelled = word.encode().decode("latin-1").translate(_SHOWN)
-        return self.pack(*[x.id for x in self.tokenizer.model.tokenize(spelled)])
-
-    def pack(self, *ids: int) -> bytes:
-        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+        ids = [x.id for x in self.tokenize(spelled)]
+        return self.packs[len(ids)](*ids) if len(ids) < len(self.packs) else np.array(ids, self.kind).tobytes()
 
     def learn(self, chunk: str) -> bytes:
         """Ids of an unknown chunk; a word and the marks behind it are looked up apart."""
         m = _MARKED.fullmatch(chunk)
         if m is None:
             return self._packed([chunk])[0]
-        word, marks = m.groups()
-        return self.cache[word] + self.cache[marks] if marks else self._word(word)
+        marks = m[2]
+        return self.cache[m[1]] + self.cache[marks] if marks else self._word(chunk)
 
     def encode(self, text: str) -> bytes:
         """The packed ids of a whole text; an empty text has none."""
@@ -134,6 +135,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    """One encoder for each file and Python worker."""
-    return Encoder(path)
+def encoder(path: str, entries: int = CACHE_ENTRIES) -> Encoder:
+    """One encoder for each file, size of cache and Python worker."""
+    return Encoder(path, entries)

@@ -12,20 +12,18 @@ PIECES = [*"aB cÉß.,;'\n\t  \r1２ñİ\x1c<|>€😀 ", "<|endoftext|>", " wor
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 @pytest.mark.parametrize("entries", [1, 7, 150_000])
-def test_ids_are_the_librarys(name, entries, monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE_ENTRIES", entries)
+def test_ids_are_the_librarys(name, entries):
     path = queries.tokenizer(name)
-    plain, cached = Tokenizer.from_file(path), tokens.Encoder(path)
+    plain, cached = Tokenizer.from_file(path), tokens.Encoder(path, entries)
     draw = random.Random(entries)
-    texts = ["", " ", "word", *["".join(draw.choices(PIECES, k=draw.randint(1, 50))) for _ in range(1500)]]
+    texts = ["", " ", "word", "x" * 300 + "qzj" * 100, *["".join(draw.choices(PIECES, k=draw.randint(1, 50))) for _ in range(1500)]]
     for text in texts + texts[:100]:
         assert cached.ids(text).tolist() == plain.encode(text, add_special_tokens=False).ids
     assert len(cached.cache) <= entries and len(cached.cache.older) <= entries
 
 
-def test_common_chunks_outlive_rare_ones(monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 10)
-    coder = tokens.Encoder(queries.tokenizer("byte_bpe_50k.json"))
+def test_common_chunks_outlive_rare_ones():
+    coder = tokens.Encoder(queries.tokenizer("byte_bpe_50k.json"), 10)
     learned = []
     plain = coder.cache.learn
     coder.cache.learn = lambda chunk: learned.append(chunk) or plain(chunk)
