@@ -43,7 +43,7 @@ from ledgerlight.llm.ordered import bounds, part_of
 from ledgerlight.llm.tokens import encoder
 from ledgerlight.session import settle
 
-#: Chunks that a worker remembers in each of two generations, 150 MB in all at most.
+#: Chunks that a worker remembers in each of two generations, some 150 MB in all.
 CACHE_ENTRIES = 500_000
 # Fixed values of the record format.
 MASK_DELTA = 0xA282EAD8
