@@ -1,5 +1,6 @@
 """Piecewise helpers against plain loops, with one key holding most rows."""
 
+import math
 import random
 
 import numpy as np
@@ -162,3 +163,29 @@ def test_concordance_against_all_pairs(spark):
                 good += r > s
                 tied += r == s
     assert (got["comparable"], got["concordant"], got["tied"]) == (comparable, good, tied)
+
+
+def test_blocks_give_the_near_rows_of_plain_differences():
+    """Sliced matrix products lose no row: ties, copies and far offsets against a plain loop."""
+    from ledgerlight.functions.neighbours import kth_bound, within
+
+    draw = np.random.default_rng(5)
+    b = np.concatenate([draw.normal(size=(300, 6)), np.repeat(draw.normal(size=(1, 6)), 300, axis=0)]) + 1e4
+    a, ids, other = b[::7], np.arange(600)[::7], np.arange(600)
+    plain = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+    plain[ids[:, None] == other] = np.inf
+    limit = kth_bound(ids, a, other, b, 4)
+    assert (limit >= np.sort(plain, axis=1)[:, 3]).all()
+    row, column, distance = within(ids, a, limit, other, b, 4)
+    best = plain.argsort(axis=1, kind="stable")[:, :4]
+    assert (column.reshape(-1, 4) == best).all() and (row == np.repeat(np.arange(len(a)), 4)).all()
+    assert np.allclose(distance, np.take_along_axis(plain, best, axis=1).ravel())
+
+
+def test_a_point_that_is_no_number_hides_no_other(spark):
+    frame = spark.createDataFrame(
+        [(i, [float(i), 0.0]) for i in range(40)] + [(40, [math.nan, 0.0]), (41, [math.inf, 1.0]), (42, None)],
+        "id long, vec array<double>",
+    )
+    got = {(r["query"], r["id"]) for r in nearest(frame, frame, 1, pivots=4).collect()}
+    assert got == {(0, 1)} | {(i, i - 1) for i in range(1, 40)}
