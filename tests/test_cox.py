@@ -183,3 +183,13 @@ def test_steepest_times(spark):
     # Drops: 0 -> .1, 5 -> .4, 10 -> .3 (too near to 5), 12 -> .1 (too near), 40 -> .1
     assert sur.steepest_times(curve, 3, 10) == [5, 40]
     assert sur.steepest_times(curve, 2, 1) == [5, 10]
+
+
+def test_lists_of_a_cut_block_become_a_matrix():
+    import pyarrow as pa
+
+    rows = [[float(i), -float(i), math.nan] for i in range(9)]
+    block = pa.record_batch([pa.array(rows, pa.list_(pa.float64()))], ["x"])
+    got = cox._lists(block.slice(2, 4), "x", 3)
+    assert np.array_equal(got, np.array(rows[2:6]), equal_nan=True)
+    assert cox._lists(block.slice(0, 0), "x", 3).shape == (0, 3)
