@@ -8,6 +8,7 @@ from ledgerlight.names import LAGS, PLANS, STUDENT, YEAR
 from ledgerlight.operators import features as feat, invoices as inv
 from ledgerlight.plans.inputs import (
     OBSERVATION_END,
+    buckets,
     enrolled,
     feature_rows,
     invoice_rows,
@@ -379,5 +380,5 @@ FEATURES = (
 @query("invoice_features", FEATURES, "SELECT * FROM features")
 def _(spark, sf):
     return feat.invoice_features(
-        ledger(spark, sf), enrolled(spark, sf), OBSERVATION_END, with_amounts=True
+        ledger(spark, sf), enrolled(spark, sf), OBSERVATION_END, with_amounts=True, buckets=buckets(spark, sf)
     )
