@@ -87,3 +87,11 @@ def test_a_student_that_fills_more_than_its_bucket_is_dealt_out_by_day(spark, fo
 def test_the_queries_share_a_ledger_in_buckets(spark, folder):
     assert inputs.buckets(spark, folder) >= 1
     assert inputs.feature_rows(spark, folder).count() > 0
+
+
+def test_a_ledger_whose_buckets_turn_out_uneven_is_read_without_them(spark, folder, monkeypatch):
+    monkeypatch.setattr(inputs, "buckets_even", lambda *_: False)
+    ledger = inputs.ledger(spark, f"{folder}/")
+    assert inputs.buckets(spark, f"{folder}/") is None
+    assert "Bucketed: true" not in ledger.groupBy(STUDENT).count()._jdf.queryExecution().executedPlan().toString()
+    assert shown(ledger) == shown(tables.ledger_view(spark, folder))
