@@ -50,6 +50,8 @@ BANDS, ROWS = 5, 2
 SLICE = 1 << 19
 #: Classes that share a run are compared in blocks of so many.
 BLOCK = 256
+#: Pairs of classes that are compared at a time.
+PAIRS = 4096
 
 _SEEDS = mixed(np.arange(101, 101 + BANDS * ROWS, dtype=np.uint64))
 _FACTORS = mixed(_SEEDS) | np.uint64(1)
@@ -252,36 +254,108 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def _block_links(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Links across components between two blocks of classes that share a run (or inside one).
+def _common(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets, row by row; places not taken differ on both sides."""
+    same = (left[:, :, None] == right[:, None, :]).reshape(len(left), WIDTH * WIDTH)
+    # Eight flags of one byte are added at a time; no count is above WIDTH.
+    eights = np.ascontiguousarray(same).view(np.uint64).sum(axis=1, dtype=np.uint64)
+    return (eights * np.uint64(0x0101010101010101)) >> np.uint64(56)
 
-    One link for each two components that meet; what a link has joined isn't compared any more.
+
+def _group_links(table: pa.Table) -> pa.RecordBatch:
+    """Links across components in whole groups (run, low, high): two blocks of classes that share a run, or one.
+
+    Pairs of small groups are compared all at once. In larger ones a component that a link
+    has joined isn't compared any more. A link is given as the labels of its components.
     """
-    _, low, high = (x.as_py() for x in key)
-    content, block = table.column("content").to_numpy(), table.column("block").to_numpy()
-    label = table.column("label").to_numpy().copy()
-    runs = table.column("runs").to_pylist()
-    size = np.array([len(x) for x in runs])
-    sets = np.full((len(runs), WIDTH), -1, np.int64)
+    keys = [table.column(c).to_numpy() for c in ("run", "low", "high")]
+    opens = np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+    first = np.flatnonzero(opens)
+    group = np.cumsum(opens) - 1
+    label, block = table.column("label").to_numpy(), table.column("block").to_numpy()
+    runs = table.column("runs").combine_chunks()
+    size = np.diff(runs.offsets.to_numpy())
     held = np.arange(WIDTH) < size[:, None]
-    sets[held] = np.concatenate(runs)
-    left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-    out_a, out_b = [], []
-    for k, i in enumerate(left):
-        others = right[k + 1 :] if low == high else right
-        others = others[label[others] != label[i]]
-        common = (np.isin(sets[others], runs[i]) & held[others]).sum(axis=1)
-        linked = others[100 * common >= PERCENT * (size[i] + size[others] - common)]
-        met, one = np.unique(label[linked], return_index=True)
-        linked = linked[one]
-        label[np.isin(label, met)] = label[i]
-        out_a.append(np.maximum(content[linked], content[i]))
-        out_b.append(np.minimum(content[linked], content[i]))
-    return pa.table({"a": np.concatenate([*out_a, np.zeros(0, np.int64)]), "b": np.concatenate([*out_b, np.zeros(0, np.int64)])})
+    # Numbers of runs instead of the runs leave room for marks of places not taken.
+    sets = np.full((len(table), WIDTH), -1, np.int32)
+    sets[held] = np.unique(runs.flatten().to_numpy(), return_inverse=True)[1]
+    others = np.where(held, sets, np.int32(-2))
+    is_left, is_right = block == keys[1], block == keys[2]
+    # Of two blocks the left rows meet all right ones, of one block those behind them.
+    place, ends = np.arange(len(table)), np.append(first[1:], len(table))
+    rights = np.cumsum(is_right)
+    all_right = rights[ends - 1] - np.where(first > 0, rights[first - 1], 0)
+    alone = keys[1] == keys[2]
+    meets = np.where(is_left, np.where(alone, ends[group] - 1 - place, all_right[group]), 0)
+    right = np.flatnonzero(is_right)
+    begin = np.where(alone, place + 1, 0)
+    begin = np.where(alone, begin, np.searchsorted(right, first)[group])
+    pairs = np.add.reduceat(meets, first)
+    small = pairs <= PAIRS
+    out = []
+
+    def linked(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        common = _common(sets[i], others[j]).astype(np.int64)
+        return 100 * common >= PERCENT * (size[i] + size[j] - common)
+
+    # Small groups, as many at a time as make up some thousand pairs.
+    rows = np.flatnonzero(small[group] & (meets > 0))
+    total = np.cumsum(meets[rows])
+    at = 0
+    while at < len(rows):
+        done = total[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(total, done + PAIRS, "right")))
+        own = meets[rows[at:to]]
+        i = np.repeat(rows[at:to], own)
+        step = np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own)
+        j = begin[i] + step
+        j = np.where(alone[i], j, right[np.minimum(j, len(right) - 1)])
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+        met = linked(i, j)
+        out.append((label[i[met]], label[j[met]]))
+        at = to
+    for g in np.flatnonzero(~small):
+        low, high = first[g], ends[g]
+        now = label[low:high].copy()
+        behind = low + np.flatnonzero(is_right[low:high])
+        for i in low + np.flatnonzero(is_left[low:high]):
+            j = behind[behind > i] if alone[i] else behind
+            j = j[now[j - low] != now[i - low]]
+            if not len(j):
+                continue
+            j = j[linked(np.full(len(j), i), j)]
+            met, one = np.unique(now[j - low], return_index=True)
+            out.append((np.full(len(one), label[i]), label[j[one]]))
+            now[np.isin(now, met)] = now[i - low]
+    none = np.zeros(0, np.int64)
+    a, b = (np.concatenate([none, *(x[k] for x in out)]) for k in range(2))
+    both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
+    return pa.record_batch([_longs(both[:, 0]), _longs(both[:, 1])], ["a", "b"])
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_group_links`` of rows in order of their groups; one cut off by a batch's end waits for the next."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(c).to_numpy() for c in ("run", "low", "high")]
+        last = np.all([k == k[-1] for k in keys], axis=0)
+        whole = batch.num_rows - int(last.sum())
+        if waiting and any(k[0] != waiting[0].column(c)[-1].as_py() for k, c in zip(keys, ("run", "low", "high"))):
+            yield _group_links(pa.Table.from_batches(waiting))
+            waiting = []
+        if whole:
+            yield _group_links(pa.Table.from_batches([*waiting, batch.slice(0, whole)]))
+            waiting = []
+        waiting.append(batch.slice(whole))
+    if waiting:
+        yield _group_links(pa.Table.from_batches(waiting))
 
 
 def _through(members: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
-    """Links left between the classes of buckets that hold several components.
+    """Links left between the components of buckets that hold several, as their labels.
 
     ``members`` has key and content. Of a set of s runs, t = ceil(0.75 s) at
     least are shared with any similar one, so the two meet at one of their
@@ -321,13 +395,24 @@ def _through(members: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame
             "run",
             F.least("block", "other").alias("low"),
             F.greatest("block", "other").alias("high"),
-            "content",
             "label",
             "runs",
             "block",
         )
     )
-    return settled(dealt.groupBy("run", "low", "high").applyInArrow(_block_links, "a long, b long").distinct())
+    # Groups are small and many, so a batch of them goes to Python at once.
+    groups = ["run", "low", "high"]
+    met = dealt.repartition(*groups).sortWithinPartitions(*groups).mapInArrow(_block_links, "a long, b long")
+    return settled(met.distinct())
+
+
+def _joined(found: DataFrame, more: DataFrame) -> DataFrame:
+    """Components (node, label) after links between labels, which are least nodes, have joined some."""
+    joined = components(more).select(F.col("node").alias("label"), F.col("label").alias("least"))
+    moved = found.join(joined, "label", "left").select("node", F.coalesce("least", "label").alias("label"))
+    # Classes that were alone until now are their own label.
+    alone = joined.select(F.col("label").alias("node"), F.col("least").alias("label")).join(found, "node", "left_anti")
+    return settled(moved.unionByName(alone))
 
 
 def links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -359,7 +444,7 @@ def links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = components(linked)
     more = _through(several.select("key", "content"), sets, found)
     if not more.isEmpty():
-        found = components(linked.unionByName(more))
+        found = _joined(found, more)
     alike = buckets.filter("low = high").select(F.col("low").alias("content"))
     chosen = alike.unionByName(found.select(F.col("node").alias("content"))).unionByName(several.select("content"))
     return settled(chosen.distinct()), found

@@ -124,3 +124,49 @@ def test_blocks_of_a_run_that_all_share(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = passages.repeated_passages(frame).collect()
     assert {(r.doc_id, r.first_doc_id) for r in got} == {(k, 0) for k in range(len(texts))}
+
+
+def roots(links):
+    """The least of each component that links make."""
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        low, high = sorted((top(a), top(b)))
+        up[high] = low
+    return {x: top(x) for x in up}
+
+
+def test_groups_in_one_batch_link_what_a_plain_loop_links():
+    # Small and large groups of one block or two, sets of several sizes, runs as odd as the marks of empty places.
+    rng, rows, wanted = random.Random(4), [], set()
+    for run in range(60):
+        high, base = rng.randrange(2), [rng.randrange(-(2**62), 2**62) for _ in range(passages.WIDTH)]
+        group = []
+        for _ in range(rng.choice([1, 2, 4, 30, 120])):
+            own = [x if rng.random() < 0.93 else rng.choice([-1, -2, rng.randrange(9)]) for x in base]
+            group.append((rng.randrange(500), list(dict.fromkeys(own))[: rng.choice([16, 16, 12, 3])], rng.randrange(high + 1)))
+        rows += [(run, 0, high, *r) for r in group]
+        for one, a, low in group:
+            for two, b, block in group:
+                both = len(set(a) & set(b))
+                if one != two and (low, block) == (0, high) and 100 * both >= 75 * (len(a) + len(b) - both):
+                    wanted.add((max(one, two), min(one, two)))
+    layout = {"run": pa.int64(), "low": pa.int32(), "high": pa.int32(), "label": pa.int64(), "runs": pa.list_(pa.int64()), "block": pa.int32()}
+    table = pa.table({c: pa.array([r[k] for r in rows], kind) for k, (c, kind) in enumerate(layout.items())})
+    for most in (1, 7, 100, len(rows)):
+        got = set()
+        for batch in passages._block_links(iter(table.to_batches(max_chunksize=most))):
+            got |= set(zip(*(x.to_pylist() for x in batch.columns)))
+        assert got <= wanted and roots(got) == roots(wanted)
+
+
+def test_links_between_labels_join_components(spark):
+    found = spark.createDataFrame([(1, 1), (5, 1), (3, 3), (9, 3), (4, 4), (6, 4)], "node long, label long")
+    more = spark.createDataFrame([(3, 1), (8, 7), (7, 3)], "a long, b long")
+    got = {(r.node, r.label) for r in passages._joined(found, more).collect()}
+    assert got == {(1, 1), (5, 1), (3, 1), (9, 1), (7, 1), (8, 1), (4, 4), (6, 4)}
