@@ -156,3 +156,29 @@ def test_stored_pipeline_scores_the_same(spark, rows, tmp_path):
     one = {r["id"]: (r["bracket"], r["probability"]) for r in made.score_batch(rows).collect()}
     two = {r["id"]: (r["bracket"], r["probability"]) for r in again.score_batch(rows).collect()}
     assert one == two
+
+
+def test_stack_query_runs_the_whole_method(spark, rows, monkeypatch):
+    """Default bases in every one of five folds and on all rows, each fold scored by fits that did not see it."""
+    from ledgerlight.plans import model_queries, registry
+
+    seen = []
+
+    def spy(name, made=dict(mod.STACKABLE)):
+        def fit(df, *args, **settings):
+            seen.append((name, df.count(), settings))
+            return made[name](df, *args, **settings)
+
+        return fit
+
+    for name in mod.STACKABLE:
+        monkeypatch.setitem(mod.STACKABLE, name, spy(name))
+    monkeypatch.setattr(model_queries, "split", lambda spark, sf: (rows, rows))
+    monkeypatch.setattr(model_queries, "COLUMNS", COLUMNS)
+    found = registry.ENTRIES["stacked_ensemble"].run(spark, "none").head()
+    assert sorted(n for n, _, _ in seen) == ["adaboost"] * 6 + ["random_forest"] * 6
+    assert not any(settings for _, _, settings in seen)
+    for name in ("adaboost", "random_forest"):
+        sizes = sorted(n for m, n, _ in seen if m == name)
+        assert sizes[-1] == 240 and sum(sizes[:-1]) == 4 * 240 and min(sizes) >= 188
+    assert found["accuracy"] > 0.5
