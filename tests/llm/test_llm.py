@@ -462,3 +462,30 @@ def test_commonest_words_are_cut_by_count(spark):
     for most, kept in ((0, []), (1, [9]), (2, [9]), (3, [9, 7, 7]), (5, [9, 7, 7]), (6, [9, 7, 7, 5, 5, 5]), (7, [9, 7, 7, 5, 5, 5, 1])):
         assert sorted((r["n"] for r in class_lm.commonest(counts, most)), reverse=True) == kept
     assert class_lm.commonest(counts.limit(0), 5) == []
+
+
+def test_rare_words_are_clustered_one_by_one(spark, monkeypatch):
+    """Words of one ending and length that tell by their neighbours alone what they are."""
+    rng = np.random.default_rng(4)
+    kinds = [[f"{a}{k:03d}xyz" for k in range(40)] for a in "pq"]
+    heads = [[[f"{a}{k}" for k in range(3)] for a in side] for side in ("mu", "nv")]
+    share = np.repeat([9, 1], [10, 30]) / 120
+    texts = [
+        " ".join(" ".join([*map(rng.choice, heads[h]), rng.choice(kinds[h], p=share)]) for h in rng.integers(0, 2, 40)) for _ in range(60)
+    ]
+    rows = spark.createDataFrame([(k, t, True) for k, t in enumerate(texts)], "doc_id long, text string, train boolean").repartition(3)
+    # With all words known, and with the commonest alone.
+    for known in (class_lm.KNOWN, 32):
+        monkeypatch.setattr(class_lm, "KNOWN", known)
+        vocabulary = class_lm.vocabulary_of(rows)
+        coded = class_lm.settle(rows.mapInArrow(class_lm.partial(class_lm._coded, vocabulary=vocabulary), class_lm.CODED))
+        near = class_lm.neighbours(coded, vocabulary.tokens)
+        classes, table = class_lm.exchange(near, len(vocabulary.counts), 30)
+        start, _ = class_lm.exchange(near, len(vocabulary.counts), 0)
+        assert class_lm.likelihood(table) >= class_lm.likelihood(class_lm._added(near, class_lm.partial(class_lm._class_pairs, classes=start)))
+        found = {w.decode(): int(classes[k]) for w, k in vocabulary.numbers.items()}
+        rare = class_lm.rare_words(coded, classes, table).collect()
+        assert {r["word"].decode(): r["n"] for r in rare} == {w: n for w, n in Counter(" ".join(texts).split()).items() if w not in found}
+        found |= {r["word"].decode(): r["class"] for r in rare}
+        sides = [{found[w] for w in kind} for kind in kinds]
+        assert not sides[0] & sides[1], known
