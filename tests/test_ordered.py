@@ -189,3 +189,28 @@ def test_a_point_that_is_no_number_hides_no_other(spark):
     )
     got = {(r["query"], r["id"]) for r in nearest(frame, frame, 1, pivots=4).collect()}
     assert got == {(0, 1)} | {(i, i - 1) for i in range(1, 40)}
+
+
+def test_neighbours_are_searched_in_rounds(spark, monkeypatch):
+    """Rows meet a few blocks at a time, and shuffle files of a round are deleted before the next."""
+    from ledgerlight.functions import neighbours as module
+
+    loads = {(g, b): 10 + g for g in range(3) for b in range(4)}
+    planned = module.rounds(loads, 35)
+    assert sorted((g, b) for here in planned for g, bs in here.items() for b in bs) == sorted(loads)
+    assert all(sum(loads[g, b] for g, bs in here.items() for b in bs) <= 35 for here in planned)
+    assert len(module.rounds(loads, 1)) == 12 and module.rounds({}, 5) == []
+
+    rng = random.Random(8)
+    points = [(k, [rng.gauss(0, 1) for _ in range(6)]) for k in range(150)]
+    frame = spark.createDataFrame(points, "id long, vec array<double>")
+    settled = []
+    for name, value in (("LEAST", 32), ("BLOCK", 32), ("ROUND", 1)):
+        monkeypatch.setattr(module, name, value)
+    monkeypatch.setattr(module, "settled", lambda df: settled.append(module.settle(df)) or settled[-1])
+    got = [(r["query"], r["id"], r["rank"]) for r in nearest(frame, frame, 3, pivots=8).orderBy("query", "rank").collect()]
+    want = []
+    for i, a in points:
+        order = sorted((math.dist(a, b), j) for j, b in points if j != i)
+        want += [(i, j, rank) for rank, (_, j) in enumerate(order[:3], 1)]
+    assert got == want and len(settled) > 1
