@@ -193,3 +193,37 @@ def test_lists_of_a_cut_block_become_a_matrix():
     got = cox._lists(block.slice(2, 4), "x", 3)
     assert np.array_equal(got, np.array(rows[2:6]), equal_nan=True)
     assert cox._lists(block.slice(0, 0), "x", 3).shape == (0, 3)
+
+
+@pytest.mark.parametrize("kind", ["few", "many", "hot"])
+def test_blocks_of_any_size_add_up_to_the_plain_sums(spark, monkeypatch, kind):
+    """Times that fill several blocks, blocks of many times, missing times: the same as the pass over times."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(kind)
+    draw = {"few": lambda: float(rng.randrange(4)), "many": lambda: rng.random(), "hot": lambda: 3.0 if rng.random() < 0.8 else float(rng.randrange(9))}[kind]
+    made = [(draw() if k else None, float(rng.random() < 0.6), k % 3, [rng.gauss(0, 1), rng.gauss(2, 3) if k % 7 else math.nan]) for k in range(180)]
+    rows = spark.createDataFrame(made, "T double, E double, fold int, x array<double>").repartition(4)
+    counts, scalers = cox.fold_scalers(rows, 2, 3)
+    problems = [cox.Problem(0.1, 0.5, f) for f in range(3)] + [cox.Problem(0.2, 1.0, 1)]
+    betas = np.array([[0.0, 0.0], [0.4, -0.3], [1.0, 2.0], [-0.5, 0.1]])
+    want = cox.state(rows, cox.time_cuts(rows), counts, scalers, problems, betas)
+    for size in (1, 7, 500):
+        monkeypatch.setattr(cox, "BLOCK", size)
+        monkeypatch.setattr(cox, "BLOCKS", 1000)
+        got = cox.block_state(cox.time_blocks(rows, 2), counts, scalers, problems, betas)
+        for a, b in zip(got, want):
+            assert np.allclose(a, b, rtol=1e-9, atol=1e-12), (size, a, b)
+
+
+def test_a_large_group_is_counted_in_pieces(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(k % 2, float(rng.randrange(9)), int(rng.random() < 0.6), float(rng.randrange(12))) for k in range(200)]
+    assert all(cox.pair_counts(*map(np.array, zip(*[x[1:] for x in rows if x[0] == q]))) == pairs([x[1:] for x in rows if x[0] == q]) for q in (0, 1))
+    assert cox.pair_counts(np.zeros(0), np.zeros(0, int), np.zeros(0)) == (0, 0, 0)
+    frame = spark.createDataFrame(rows, "q int, t double, e int, r double")
+    found = []
+    for most in (cox.TOGETHER, 10):
+        monkeypatch.setattr(cox, "TOGETHER", most)
+        found.append(sorted(map(tuple, cox.concordance_by(frame, "t", "e", "r", ["q"]).collect())))
+    assert found[0] == found[1]
